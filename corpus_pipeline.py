@@ -1,8 +1,67 @@
-"""The corpus pipeline: stages over documents (under construction)."""
+"""The corpus pipeline over ``documents``: drop toxic texts, keep one document of each group of
+near-duplicates, interleave the sources by their target weights, and encode what is left.
 
-STAGES = []
+A stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again
+as the next one's docs, so a lost executor costs no more than a stage. All but the last return
+the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sylvan.llm import bpe, mixing, simhash, toxicity
+from sylvan.runtime import shared_dir, ship, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go. It is trained on the table's labelled rows,
+    whichever of them ``docs`` still holds."""
+    ship(spark)
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest doc_id stays."""
+    ship(spark)
+    return simhash.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the schedule: files in order of name, rows in order within."""
+    ship(spark)
+    mixed = mixing.mix(docs)
+    return mixed.sort("mix_rank").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, and the text's tokens with their digest."""
+    ship(spark)
+    return bpe.encode_with_digest(docs.select("doc_id", "source", "text"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("source_mixing", mix_sources),
+    ("byte_bpe", encode),
+]
+
+#: No SQL: the first stage trains a model. tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(ship(spark), sf_dir, "documents")
+    base = f"{shared_dir(spark)}/sylvan/{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
+        docs = spark.read.parquet(f"{base}/{i}-{name}")
+    return docs

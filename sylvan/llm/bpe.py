@@ -180,23 +180,31 @@ def default_ranks() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode_documents(docs: DataFrame, text: str = "text", ranks: tuple[str, str] | None = None) -> DataFrame:
-    """``docs`` with ``token_ids`` (array of int): the operator's real output, all columns kept.
+def _ids_and_digest(bpe: TreeBpe, text: str | None) -> tuple[bytes, str, str]:
+    ids = bpe.encode(text)
+    return ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 
-    A column of that name in the input is replaced. Null texts give an empty array.
-    """
+
+def encode_with_digest(docs: DataFrame, ranks: tuple[str, str] | None = None) -> DataFrame:
+    """doc_id, source, ``token_ids`` (array of int), n_tokens, ids_sha256 and decoded_sha256 of every row."""
     ship(docs.sparkSession)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "token_ids"]
-    given = docs.select(*kept)
-    schema = given.limit(0).withColumn("token_ids", F.array().cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = engine(*(ranks or default_ranks()))
         for batch in batches:
-            ids = [np.frombuffer(bpe.encode(x), dtype="<u4").astype(np.int32) for x in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, type=pa.list_(pa.int32()))], names=[*batch.schema.names, "token_ids"])
+            done = [_ids_and_digest(bpe, x) for x in batch.column(2).to_pylist()]
+            columns = [
+                batch.column(0),
+                batch.column(1),
+                pa.array([np.frombuffer(ids, dtype="<i4") for ids, _, _ in done], pa.list_(pa.int32())),
+                pa.array([len(ids) // 4 for ids, _, _ in done], pa.int64()),
+                pa.array([a for _, a, _ in done], pa.string()),
+                pa.array([b for _, _, b in done], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return given.mapInArrow(run, schema)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return given.mapInArrow(run, "doc_id long, source string, token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def digest(docs: DataFrame, ranks: tuple[str, str] | None = None) -> DataFrame:
@@ -206,12 +214,8 @@ def digest(docs: DataFrame, ranks: tuple[str, str] | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = engine(*(ranks or default_ranks()))
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
-            for x in batch.column(1).to_pylist():
-                ids = bpe.encode(x)
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            done = [_ids_and_digest(bpe, x) for x in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([len(ids) // 4 for ids, _, _ in done], pa.int64()), pa.array([a for _, a, _ in done], pa.string()), pa.array([b for _, _, b in done], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

@@ -81,7 +81,7 @@ def test_operators_on_odd_rows(spark, tik, lib):
     assert got == sorted(want, key=str)
     counts = sorted((tuple(r) for r in token_count.count_tokens(docs).collect()), key=str)
     assert counts == sorted(((i, len((t or "").encode()), n := len(lib.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t, _ in ROWS), key=str)
-    ids = {r["doc_id"]: r["token_ids"] for r in bpe.encode_documents(docs).collect() if r["doc_id"]}
+    ids = {r["doc_id"]: r["token_ids"] for r in bpe.encode_with_digest(docs.withColumn("source", docs["n_tokens"])).collect() if r["doc_id"]}
     assert ids[2] == [] and ids[1] == tik.encode_ordinary(ROWS[0][1])
 
 
