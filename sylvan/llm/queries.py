@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import bpe, mixing, simhash, token_count, toxicity, url_filter
+from sylvan.llm import ann, bpe, maxscore, mixing, simhash, token_count, toxicity, url_filter
 from sylvan.runtime import ship, table
 
 
+def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(ship(spark), sf_dir, "documents"))
 
@@ -31,16 +35,22 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(ship(spark), sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_maxscore": op2_maxscore,
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
+    "op9_ann": op9_ann,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
@@ -70,7 +80,19 @@ select page_id, host, path, {best} as rule, {verdict} as verdict, pattern from (
 """
 
 
+_TOP_SQL = """
+with rows as (
+  select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from rows q join rows c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 20
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_maxscore": _TOP_SQL,
     "op7_url_filter": _url_sql(),
     "op8_mixing": mixing.oracle(),
 }
