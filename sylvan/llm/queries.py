@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import ann, bpe, maxscore, mixing, simhash, token_count, toxicity, url_filter
+from sylvan.llm import ann, bpe, html_extract, license_scan, maxscore, mixing, simhash, token_count, toxicity, url_filter
 from sylvan.runtime import ship, table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(ship(spark), sf_dir, "documents"))
+
+
 def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -27,6 +31,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(ship(spark), sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -44,10 +52,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_maxscore": op2_maxscore,
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_html_extract": op6_html_extract,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
     "op9_ann": op9_ann,
