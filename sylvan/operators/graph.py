@@ -49,7 +49,7 @@ class Graph:
     def callees(self, name: str, depth: int = DEPTH) -> DataFrame:
         """What definitions of a name call, and so on: root, trail (the order of rows), depth from 1, display,
         path, line, is_guess, cycle. A row that is on its own path already is shown once and not followed."""
-        steps = self.named().select(F.col("caller").alias("key"), F.col("target").alias("next"), "display", F.col("dst_path").alias("path"), F.col("dst_line").alias("line"), "is_guess", F.struct(F.col("line").alias("at"), "display", "site_path", "ord").alias("place"))
+        steps = self.named().select(F.col("caller").alias("key"), F.col("target").alias("next"), "display", F.col("dst_path").alias("path"), F.col("dst_line").alias("line"), "is_guess", F.struct(F.col("line").alias("at"), "display", "site_path", "ord", "dst_path", "dst_line").alias("place"))
         return self.walk(self.roots(name).select("root", "key"), steps, depth)
 
     def callers(self, name: str, depth: int = DEPTH) -> DataFrame:
@@ -57,7 +57,7 @@ class Graph:
         n = self.named()
         steps = n.select(
             F.coalesce("target", F.concat(F.lit("\x01"), "display")).alias("key"), F.col("caller").alias("next"), F.col("src_name").alias("display"), F.col("src_path").alias("path"), F.col("src_line").alias("line"), "is_guess",
-            F.struct(F.col("line").alias("at"), F.col("display").alias("display"), "site_path", "ord").alias("place"),
+            F.struct(F.col("line").alias("at"), F.col("display").alias("display"), "site_path", "ord", "dst_path", "dst_line").alias("place"),
         )
         defined = self.roots(name)
         outside = n.sparkSession.createDataFrame([(None, "\x01" + name)], "root struct<path:string,ord:int>, key string")
@@ -66,7 +66,7 @@ class Graph:
 
     def walk(self, starts: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
         steps = materialise(steps, "steps")
-        place = "struct<at:int,display:string,site_path:string,ord:int>"
+        place = "struct<at:int,display:string,site_path:string,ord:int,dst_path:string,dst_line:int>"
         front = starts.select("root", "key", F.array("key").alias("seen"), F.array().cast(f"array<{place}>").alias("trail"))
         out: DataFrame | None = None
         columns = ["root", "trail", "depth", "display", "path", "line", "is_guess", "cycle"]
