@@ -18,6 +18,7 @@ JavaScript and Python are the functions of the outline; their calls are found by
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 from sylvan.functions.languages import FUNCTIONS
@@ -168,13 +169,15 @@ class Facts:
                         if name is None or name in wanted:
                             bodies.setdefault(name, []).append(node)
             stack += reversed(node.kids)
+        calls.sort(key=lambda c: (c.start, -c.end))
+        starts = [c.start for c in calls]
         for r in functions:
             seen = set()
             outer = sorted({id(n): n for n in bodies.get(r["name"], []) + bodies.get(None, [])}.values(), key=lambda n: (n.start, -n.end))
             for f in outer:
                 scope = f.get("body") or f
-                for c in calls:
-                    if not (scope.start <= c.start and c.end <= scope.end):
+                for c in calls[bisect_left(starts, scope.start) : bisect_left(starts, scope.end)]:
+                    if c.end > scope.end:
                         continue
                     key = (self.line(f), self.first_line(f), self.line(c), self.first_line(c))
                     name = self.callee_text(key[3])
