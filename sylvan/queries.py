@@ -1,4 +1,7 @@
-"""Queries of the engine over corpora written from the tables, with SQL that computes the same from the rows."""
+"""Queries of the engine over corpora written from the tables, with SQL that computes the same from the rows.
+
+Queries over one corpus share its parsed tables and its graph within an application.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +20,17 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+_ENGINES: dict[tuple[str, str, str], Engine] = {}
+
+
+def over(corpus: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf_dir: str) -> Engine:
+    """The engine of a corpus: parsed once in an application, as its tables are in the shared folder."""
+    key = (spark.sparkContext.applicationId, corpus.__name__, sf_dir)
+    if key not in _ENGINES:
+        _ENGINES[key] = Engine(spark, corpus(spark, sf_dir))
+    return _ENGINES[key]
+
+
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def put(query: Query) -> Query:
         QUERIES[name] = query
@@ -31,7 +45,7 @@ def searched(corpus: Callable[[SparkSession, str], DataFrame], query: str, *colu
     """Matches of a query in a corpus, as columns of their captures."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = Engine(spark, corpus(spark, sf_dir)).search(query, **options)
+        found = over(corpus, spark, sf_dir).search(query, **options)
         shown = [F.col("path")]
         for i, names in enumerate(columns):
             capture = F.col("captures")[i]
@@ -95,18 +109,18 @@ register("search_arguments", _ORDERS + "select path, cast(line as int) as line,
     searched(corpora.c_orders, "&function.params(literal#7)", {"start_line": "line", "text": "text"})
 )
 register("search_field", _ORDERS + "select path, cast(line as int) as line, cast(q as varchar) as text from calls")(
-    lambda spark, sf_dir: Engine(spark, corpora.c_orders(spark, sf_dir)).search("(&function @c).arguments((literal @v))").select("path", F.col("captures")[1]["start_line"].alias("line"), F.col("captures")[1]["text"].alias("text"))
+    lambda spark, sf_dir: over(corpora.c_orders, spark, sf_dir).search("(&function @c).arguments((literal @v))").select("path", F.col("captures")[1]["start_line"].alias("line"), F.col("captures")[1]["text"].alias("text"))
 )
 register("search_empty_field", _ORDERS + "select path, cast(line as int) as line, '(int p' || priority || ')' as text from fns union all"
          " select 'parts/b' || cast(p_partkey // 500 as varchar) || '.c', cast(row_number() over (partition by p_partkey // 500 order by p_partkey) as int), '(int q)' from part")(
     searched(corpora.c_orders, "*function.params()", {"start_line": "line", "text": "text"})
 )
 register("search_rendered", _ORDERS + f"select n.path, '@f:' || cast(f_line as varchar) || ': \"' || {_HEAD} || '\", @c:' || cast(calls.line as varchar) || ': \"part_' || cast(p as varchar) || '(' || cast(q as varchar) || ')\"' as rendered from calls join named n using (o)")(
-    lambda spark, sf_dir: Engine(spark, corpora.c_orders(spark, sf_dir)).search("(*function @f).body((&function @c))").select("path", "rendered")
+    lambda spark, sf_dir: over(corpora.c_orders, spark, sf_dir).search("(*function @f).body((&function @c))").select("path", "rendered")
 )
 register("search_body", _ORDERS + f"""select path, '@f:' || cast(line as varchar) || '-' || cast(line + n + 1 as varchar) || ': ' || {_HEAD} || chr(10) || coalesce(texts, '') || '}}' as rendered from named
   left join (select o, string_agg('    part_' || cast(p as varchar) || '(' || cast(q as varchar) || ');' || chr(10), '' order by line) as texts from calls group by o) using (o)""")(
-    lambda spark, sf_dir: Engine(spark, corpora.c_orders(spark, sf_dir)).search("(*function#/^order_/ @f)", body=True).select("path", "rendered")
+    lambda spark, sf_dir: over(corpora.c_orders, spark, sf_dir).search("(*function#/^order_/ @f)", body=True).select("path", "rendered")
 )
 
 
@@ -134,7 +148,7 @@ def _outline_sql() -> str:
 
 @register("outline", _outline_sql())
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine(spark, corpora.mixed(spark, sf_dir)).outline().select("path", "depth", "kind", "name", "line")
+    return over(corpora.mixed, spark, sf_dir).outline().select("path", "depth", "kind", "name", "line")
 
 
 def _types_sql() -> str:
@@ -150,7 +164,7 @@ def _types_sql() -> str:
 @register("types_by_language", _types_sql())
 def types_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many nodes each type matches in each language (in one line of a file each)."""
-    engine = Engine(spark, corpora.mixed(spark, sf_dir))
+    engine = over(corpora.mixed, spark, sf_dir)
     out = None
     for query in ("class", "*function", "&function"):
         found = engine.search(query).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", F.lit(query).alias("query"), "n")
@@ -161,7 +175,7 @@ def types_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("outline_c", _ORDERS + "select path, 'fn' as kind, name, cast(line as int) as line from named union all"
           " select 'parts/b' || cast(p_partkey // 500 as varchar) || '.c', 'fn', 'part_' || cast(p_partkey as varchar), cast(row_number() over (partition by p_partkey // 500 order by p_partkey) as int) from part")
 def outline_c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine(spark, corpora.c_orders(spark, sf_dir)).outline().select("path", "kind", "name", "line")
+    return over(corpora.c_orders, spark, sf_dir).outline().select("path", "kind", "name", "line")
 
 
 
@@ -180,7 +194,7 @@ def edges_of(corpus: Callable[[SparkSession, str], DataFrame]) -> Query:
     """Edges by names: caller, callee, the file of the callee (null: outside), whether it is a guess."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        named = Engine(spark, corpus(spark, sf_dir)).graph.named()
+        named = over(corpus, spark, sf_dir).graph.named()
         return named.select("src_path", "src_name", F.col("display").alias("callee"), "dst_path", F.col("dst_line").cast("int").alias("dst_line"), "is_guess")
 
     return run
@@ -192,7 +206,7 @@ register("edges_c", _ORDERS + f"select distinct n.path as src_path, name as src_
 
 @register("edge_ids", _ORDERS + f"select distinct regexp_extract(n.path, '[^/]*$') || ':' || cast(n.line as bigint) as src_id, coalesce(regexp_extract(x.path, '[^/]*$') || ':' || cast(x.line as varchar), 'part_' || cast(p as varchar)) as dst_id, false as is_guess from calls join named n using (o) left join {_PART_LINES} x on p = p_partkey")
 def edge_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine(spark, corpora.c_orders(spark, sf_dir)).edges().select("src_id", "dst_id", "is_guess").distinct()
+    return over(corpora.c_orders, spark, sf_dir).edges().select("src_id", "dst_id", "is_guess").distinct()
 
 
 _GO = """
@@ -230,7 +244,7 @@ select 'UseSup' || cast(u.k as varchar) as src_name, callee, dst, is_guess from
 def edges_go_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls through an interface, by a constructor's result, and of a method that a type lacks: callee and the
     number of the supplier whose method it is."""
-    named = Engine(spark, corpora.go_dispatch(spark, sf_dir)).graph
+    named = over(corpora.go_dispatch, spark, sf_dir).graph
     d = named.defs.select(F.col("def_id").alias("target"), F.nullif(F.regexp_extract(F.concat_ws("/", "qualified"), r"Sup(\d+)", 1), F.lit("")).cast("long").alias("dst"))
     return named.named().join(d, "target", "left").select("src_name", F.col("display").alias("callee"), "dst", "is_guess")
 
@@ -258,7 +272,7 @@ union all select 'run', 'stop', null, false from s where not stops
 def edges_rust_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls through a trait, a bound, a constructor's result and self: callee and the number of the supplier whose
     method it is (null: the trait's default)."""
-    graph = Engine(spark, corpora.rust_traits(spark, sf_dir)).graph
+    graph = over(corpora.rust_traits, spark, sf_dir).graph
     d = graph.defs.select(F.col("def_id").alias("target"), F.nullif(F.regexp_extract(F.concat_ws("/", "qualified"), r"Sup(\d+)", 1), F.lit("")).cast("long").alias("dst"))
     return graph.named().join(d, "target", "left").select("src_name", F.col("display").alias("callee"), "dst", "is_guess")
 
@@ -274,7 +288,7 @@ with recursive up(depth, k, seen) as (
 @register("callers", _CHAIN + "select cast(depth as int) as depth, 'Cust' || cast(k as varchar) as name, false as cycle from up where depth > 0")
 def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who calls Cust1, down to five calls."""
-    found = Engine(spark, corpora.go_world(spark, sf_dir)).callers("Cust1", 5)
+    found = over(corpora.go_world, spark, sf_dir).callers("Cust1", 5)
     return found.select("depth", F.col("display").alias("name"), "cycle")
 
 
@@ -287,24 +301,24 @@ select cast(depth as int) as depth, 'Cust' || cast(k as varchar) as name, cycle
 def callees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain of calls from the last customer to Cust0, which calls itself."""
     last = spark.read.parquet(f"{sf_dir}/customer.parquet").agg(F.max("c_custkey")).first()[0]
-    found = Engine(spark, corpora.go_world(spark, sf_dir)).callees(f"Cust{last}", 20)
+    found = over(corpora.go_world, spark, sf_dir).callees(f"Cust{last}", 20)
     return found.where(F.col("display").startswith("Cust")).select("depth", F.col("display").alias("name"), "cycle")
 
 
 @register("definition_by_name", "select 'world/r' || cast(n_regionkey as varchar) || '/n' || lpad(cast(n_nationkey as varchar), 2, '0') || '.go' as path, 6 as line, 'Local' as name, (select count(*) from nation) > 1 as is_guess from nation")
 def definition_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine(spark, corpora.go_world(spark, sf_dir)).definition("Local")
+    return over(corpora.go_world, spark, sf_dir).definition("Local")
 
 
 @register("definition_by_package", "select 'world/r3/region.go' as path, 2 as line, 'Region3' as name, false as is_guess from (select distinct n_regionkey from nation where n_regionkey = 3)")
 def definition_by_package(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine(spark, corpora.go_world(spark, sf_dir)).definition("r3.Region3")
+    return over(corpora.go_world, spark, sf_dir).definition("r3.Region3")
 
 
 @register("definition_by_path", "select 'work/src/n' || lpad(cast(s_nationkey as varchar), 2, '0') || '.rs' as path, cast(3 + o + 0 as int) as line, 'make' as name, false as is_guess from"
           " (select *, coalesce(sum(case when s_acctbal >= 0 then 14 else 13 end) over (partition by s_nationkey order by s_suppkey rows between unbounded preceding and 1 preceding), 0) as o from supplier) where s_suppkey = 7")
 def definition_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine(spark, corpora.rust_traits(spark, sf_dir)).definition("Sup7::make")
+    return over(corpora.rust_traits, spark, sf_dir).definition("Sup7::make")
 
 
 @register("definitions_indexed", """
@@ -316,11 +330,11 @@ select 'work/n' || lpad(cast(s_nationkey as varchar), 2, '0') || '/sup.go' as pa
 union all select 'work/worker.go', name, 'signature', 'Worker', null from (values ('Run'), ('Stop')) t(name)
 """)
 def definitions_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine(spark, corpora.go_dispatch(spark, sf_dir)).definitions.select("path", "name", "kind", "receiver", "ret")
+    return over(corpora.go_dispatch, spark, sf_dir).definitions.select("path", "name", "kind", "receiver", "ret")
 
 
 @register("edges_mixed")
 def edges_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names are the same in all languages: ambiguous for those that match by name only."""
-    named = Engine(spark, corpora.mixed(spark, sf_dir)).graph.named()
+    named = over(corpora.mixed, spark, sf_dir).graph.named()
     return named.select(basename(F.col("src_path")).alias("src"), "src_name", "display", "dst_path", "is_guess")

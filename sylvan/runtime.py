@@ -7,6 +7,8 @@ below ``spark.checkpoint.dir`` and read again.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import threading
 import uuid
@@ -30,6 +32,7 @@ def ship(spark: SparkSession) -> SparkSession:
         if app not in _SHIPPED:
             root = Path(__file__).resolve().parent
             folder = tempfile.mkdtemp(prefix="sylvan-code-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
             target = Path(folder) / "sylvan_code.zip"
             with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
                 for p in sorted(root.rglob("*.py")):
@@ -47,7 +50,9 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="sylvan-shared-"))
+        folder = tempfile.mkdtemp(prefix="sylvan-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN_DIR.append("file://" + folder)
     return _OWN_DIR[0]
 
 
@@ -62,6 +67,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote to the shared folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sylvan/{spark.sparkContext.applicationId}")  # noqa: SLF001
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete tables that :func:`materialise` wrote and that no later plan reads."""
     for df in frames:

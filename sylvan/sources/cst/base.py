@@ -122,8 +122,22 @@ class Parser:
 
     # ---- brackets
 
+    pairs: dict[int, int] | None = None
+
     def closing(self, i: int) -> int:
         """Number of the token that closes the bracket at token i (the end, if none does)."""
+        if self.pairs is None:
+            self.pairs, opened = {}, []
+            for k, t in enumerate(self.toks):
+                if t.type == "op":
+                    if t.text in OPEN:
+                        opened.append(k)
+                    elif t.text in CLOSE and opened:
+                        self.pairs[opened.pop()] = k
+            self.pairs |= dict.fromkeys(opened, len(self.toks) - 1)
+        return self.pairs[i] if i in self.pairs else self.scan_closing(i)
+
+    def scan_closing(self, i: int) -> int:
         depth, n = 0, len(self.toks)
         while i < n:
             t = self.toks[i]

@@ -9,7 +9,7 @@ from sylvan.sources.cst.expressions import ASSIGN, POWER, Expressions
 from sylvan.sources.cst.tree import Node
 
 _OPS = r"<<=|>>=|\.\.\.|\.\.=|&&|\|\||->|=>|::|\.\.|[-+*/%&|^=!<>]=|<<|>>|[-+*/%&|^~!=<>?:;,.(){}\[\]@#$]"
-_TOKENS = rf"""(?P<skip>\s+)|(?P<comment>//[^\n]*)|(?P<open>/\*)|(?P<raw>(?:b|c|br|cr)?r\#*")|(?P<string>(?:b|c)?"(?:[^"\\]|\\.)*(?:"|\Z))
+_TOKENS = rf"""(?P<skip>\s+)|(?P<comment>//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*(?:\*/|\Z))|(?P<raw>(?:b|c|br|cr)?r\#*")|(?P<string>(?:b|c)?"(?:[^"\\]|\\.)*(?:"|\Z))
 |(?P<char>b?'(?:[^'\\\n]|\\(?:u\{{[^}}]*\}}|x[0-9a-fA-F]{{2}}|.))')|(?P<lifetime>'[^\W\d]\w*)
 |(?P<number>0[xXbBoO][0-9a-fA-F_]+(?:[iu](?:8|16|32|64|128|size))?|[0-9][0-9_]*(?:\.(?![.\w])|\.[0-9][0-9_]*)?(?:[eE][+-]?[0-9_]+)?(?:[iuf](?:8|16|32|64|128|size))?)|(?P<word>(?:r\#)?[^\W\d]\w*)|(?P<op>{_OPS})"""
 KEYWORDS = frozenset("as break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return static struct super trait type unsafe use where while async await".split())
@@ -19,22 +19,22 @@ BLOCKS = frozenset(("if", "match", "while", "loop", "for", "unsafe"))
 
 class Rust(Expressions):
     TOKENS = re.compile(_TOKENS.replace("\n|", "|"), re.DOTALL)
-    COMMENT = "line_comment"
+
+    def comment_kind(self, text: str) -> str:
+        return "line_comment" if text.startswith("//") else "block_comment"
+
     UNARY = {"!": "unary_expression", "-": "unary_expression", "*": "unary_expression"}
     POWERS = {k: v for k, v in POWER.items() if k not in ("??", "instanceof", "in", "===", "!==", "<=>", "**", "&^", ">>>")}
     structs = True
 
-    def scan(self) -> None:
-        super().scan()
+    def closing(self, i: int) -> int:
+        return self.scan_closing(i)  # numbers of tokens change where >> is split
 
     def raw_end(self, text: str, start: int, at: int) -> int:
         close = '"' + "#" * text.count("#")
         found = self.source.find(close, at)
         return len(self.source) if found < 0 else found + len(close)
 
-    def made(self, token: Token) -> Token:
-        return token
-
     def outer_closes(self, text: str) -> bool:
         return False
 
