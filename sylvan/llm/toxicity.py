@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from sylvan.runtime import ship
 
 #: Labelled rows of each class that the models are fitted on, at most.
-PER_CLASS = 3000
+PER_CLASS = 2000
 #: Lengths of word beginnings that may be signs.
 BEGINNINGS = (4, 5, 6, 7)
 #: Mined voters, and features of the classifier, at most.
@@ -61,17 +62,6 @@ MASKED = re.compile(r"\b[A-Za-z]+[*@$#]+[A-Za-z]+\b")
 YOU = re.compile(r"\b(?:you|you're|tu es|du bist|eres)\b(?:\s+\S+){0,2}\s+(?:" + "|".join(sorted(map(re.escape, LEXICON))) + r")\b", re.IGNORECASE)
 
 
-def signs(text: str | None) -> tuple[set[str], Counter]:
-    """Distinct words of a text (lower case), and how many of them begin with each beginning."""
-    words = set(WORD.findall((text or "").lower()))
-    begin: Counter = Counter()
-    for w in words:
-        for n in BEGINNINGS:
-            if len(w) > n:
-                begin[w[:n]] += 1
-    return words, begin
-
-
 def patterns(text: str | None) -> list[bool]:
     text = text or ""
     return [bool(SHOUT.search(text)), bool(MASKED.search(text)), bool(YOU.search(text))]
@@ -122,34 +112,48 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def mined(docs: list[tuple[set[str], Counter]], y: np.ndarray) -> list[tuple[str, int]]:
+def mined(docs: list[tuple[str, ...]], y: np.ndarray) -> list[tuple[str, int]]:
     """Signs that tell the classes apart: (word, 0) or (beginning, least count), best information first,
-    at most one step for each beginning."""
+    at most one step for each beginning. What is counted grows with the words of the sample alone."""
     n1, n0 = y.sum(), (1 - y).sum()
-    hits: dict[tuple[str, int], list[float]] = {}
-    variety: dict[str, set[str]] = {}  # words of class 1 that a beginning has
-    for (words, _), t in zip(docs, y, strict=True):
-        for w in words if t else ():
-            for n in BEGINNINGS:
-                if len(w) > n:
-                    variety.setdefault(w[:n], set()).add(w)
-    for (words, begin), t in zip(docs, y, strict=True):
-        for key in [(w, 0) for w in words] + [(b, k) for b, c in begin.items() if len(variety.get(b, ())) >= SUPPORT for k in (1, 2, 3, 5) if c >= k]:
-            hits.setdefault(key, [0.0, 0.0])[0 if t else 1] += 1
+    common = Counter(w for words in docs for w in words)
+    variety: dict[str, int] = Counter()  # words of class 1 that a beginning has
+    for w in {w for words, t in zip(docs, y, strict=True) if t for w in words}:
+        for n in BEGINNINGS:
+            if len(w) > n:
+                variety[w[:n]] += 1
+    several = {b for b, n in variety.items() if n >= SUPPORT}
+    trials = len(common) + 4 * len(variety)
+    hits = ({}, {})
+    for words, t in zip(docs, y, strict=True):
+        own = hits[0 if t else 1]
+        for key in [(w, 0) for w in words if common[w] >= SUPPORT] + [(b, k) for b, c in beginnings(words, several).items() for k in (1, 2, 3, 5) if c >= k]:
+            own[key] = own.get(key, 0) + 1
 
     def gain(a: float, b: float) -> float:
         return n1 * _divergence((a + 0.1) / (n1 + 1), (a + b + 0.2) / (n1 + n0 + 2)) + n0 * _divergence((b + 0.1) / (n0 + 1), (a + b + 0.2) / (n1 + n0 + 2))
 
-    ranked = sorted(((gain(a, b), key) for key, (a, b) in hits.items() if a + b >= SUPPORT and a * n0 > 3 * b * n1), reverse=True)
+    pairs = ((key, a, hits[1].get(key, 0)) for key, a in hits[0].items())
+    ranked = sorted(((gain(a, b), key) for key, a, b in pairs if a + b >= SUPPORT and a * n0 > 3 * b * n1), reverse=True)
     out, seen = [], set()
     for g, (s, k) in ranked:
         name = (s, k > 0)
-        if g > math.log(len(hits)) and name not in seen:  # beyond what so many trials give by chance
+        if g > math.log(max(trials, 2)) and name not in seen:  # beyond what so many trials give by chance
             seen.add(name)
             out.append((s, k))
     return out
 
 
+def beginnings(words: tuple[str, ...], wanted: set[str]) -> dict[str, int]:
+    """How many of the words begin with each wanted beginning."""
+    out: dict[str, int] = {}
+    for w in words:
+        for n in BEGINNINGS:
+            if len(w) > n and (b := w[:n]) in wanted:
+                out[b] = out.get(b, 0) + 1
+    return out
+
+
 def _divergence(p: float, q: float) -> float:
     return p * math.log(p / q) + (1 - p) * math.log((1 - p) / (1 - q))
 
@@ -185,33 +189,35 @@ def label_model(fires: np.ndarray, share: float, rounds: int = 60) -> tuple[np.n
     return post, rates, weight
 
 
-def fit(rows: list[tuple[int, list[str], list[bool]]], share: float) -> Model:
+def fit(rows: list[tuple[int, tuple[str, ...], list[bool]]], share: float) -> Model:
     """The model from labelled rows (label, distinct words, patterns); ``share``: of class 1 among all."""
     y = np.array([t for t, _, _ in rows], float)
     if not len(y) or not 0 < y.sum() < len(y):
         return Model()
-    docs = [_counted(w) for _, w, _ in rows]
+    docs = [w for _, w, _ in rows]
     found = mined(docs, y)
-    lexicon = sorted({w for words, _ in docs for w in words & LEXICON})
+    lexicon = sorted({w for words in docs for w in words if w in LEXICON})
     voters = [(w, 0) for w in lexicon] + [v for v in found if v[0] not in LEXICON][:VOTERS]
-    votes = [[t, *p, *(s in words if k == 0 else begin[s] >= k for s, k in voters)] for (t, _, p), (words, begin) in zip(rows, docs, strict=True)]
-    fires = np.array(votes, float)
-    anything = fires[:, 1:].any(axis=1)
-    fires = np.column_stack([fires, ~anything])  # the voter for clean texts: no other fires
-    post, _, _ = label_model(fires, min(max(float(y.mean()), 0.02), 0.98))
 
     # features of the classifier: every mined sign, the words of the lexicon, and the steps of beginnings
     words = sorted(LEXICON | {s for s, k in found if k == 0})[:FEATURES]
     begins = list(dict.fromkeys(s for s, k in found if k))[: FEATURES // 10]
     names = [("w", w, "") for w in words] + [("b", b, s) for b in begins for s in ("n1", "n2", "n3", "n5", "n8", "s1", "s2", "s4", "s8")]
     number = {x: i for i, x in enumerate(names)}
-    row, col = [], []
     chosen = set(begins)
-    for i, (own, begin) in enumerate(docs):
+    votes, row, col = [], [], []
+    for i, (t, own, p) in enumerate(rows):
+        here, begin = set(own), beginnings(own, chosen)
+        votes.append([t, *p, *(s in here if k == 0 else begin.get(s, 0) >= k for s, k in voters)])
         got = [number[x] for w in own if (x := ("w", w, "")) in number]
-        got += [number["b", b, s] for b in begin.keys() & chosen for s in level(begin[b], len(own))]
+        got += [number["b", b, s] for b, n in begin.items() for s in level(n, len(own))]
         row += [i] * len(got)
         col += got
+    fires = np.array(votes, float)
+    anything = fires[:, 1:].any(axis=1)
+    fires = np.column_stack([fires, ~anything])  # the voter for clean texts: no other fires
+    post, _, _ = label_model(fires, min(max(float(y.mean()), 0.02), 0.98))
+
     # the sample holds the classes in other shares than the table
     odds = share / (1 - share) * (1 - y.mean()) / y.mean()
     weights, bias = logistic(np.array(row, int), np.array(col, int), len(rows), len(names), post, np.where(y > 0, odds, 1.0))
@@ -225,15 +231,6 @@ def fit(rows: list[tuple[int, list[str], list[bool]]], share: float) -> Model:
     return model
 
 
-def _counted(words: list[str]) -> tuple[set[str], Counter]:
-    begin: Counter = Counter()
-    for w in words:
-        for n in BEGINNINGS:
-            if len(w) > n:
-                begin[w[:n]] += 1
-    return set(words), begin
-
-
 def logistic(row: np.ndarray, col: np.ndarray, n: int, m: int, target: np.ndarray, importance: np.ndarray, ridge: float = 0.05, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels over 0/1 features given as coordinates (Adagrad, full batch)."""
     w, bias = np.zeros(m), math.log((target @ importance + 0.5) / ((1 - target) @ importance + 0.5))
@@ -272,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     got = sample.mapInArrow(run, "doc_id long, toxic int, words array<string>, patterns array<boolean>")
     best = {}  # a doc_id that the table repeats counts once; the order of tasks plays no part
     for r in got.toLocalIterator():
-        key, value = r["doc_id"], (r["toxic"], list(r["words"]), list(r["patterns"]))
+        key, value = r["doc_id"], (r["toxic"], tuple(map(sys.intern, r["words"])), list(r["patterns"]))
         if key not in best or value < best[key]:
             best[key] = value
     return fit([best[k] for k in sorted(best)], sizes[1] / (sizes[0] + sizes[1]))
