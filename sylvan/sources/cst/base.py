@@ -38,7 +38,8 @@ class Parser:
         self.depth = 0
         self.scan()
         end = len(source)
-        self.toks.append(Token("end", "", end, end, True))
+        # more than one, so that a step past a bracket that never closes stays in the list
+        self.toks += [Token("end", "", end, end, True) for _ in range(3)]
 
     def scan(self) -> None:
         at, n, new_line, match = 0, len(self.source), True, self.TOKENS.match
@@ -134,7 +135,7 @@ class Parser:
                         opened.append(k)
                     elif t.text in CLOSE and opened:
                         self.pairs[opened.pop()] = k
-            self.pairs |= dict.fromkeys(opened, len(self.toks) - 1)
+            self.pairs |= dict.fromkeys(opened, len(self.toks) - 3)
         return self.pairs[i] if i in self.pairs else self.scan_closing(i)
 
     def scan_closing(self, i: int) -> int:
@@ -149,7 +150,7 @@ class Parser:
                     if depth <= 0:
                         return i
             i += 1
-        return n - 1
+        return n - 3
 
     def skip_brackets(self) -> None:
         self.i = min(self.closing(self.i) + 1, len(self.toks) - 1)

@@ -313,7 +313,9 @@ class GoFacts(Scopes):
         if value is None:
             return
         if value.kind in ("identifier", "selector_expression"):
-            self.bind(fn, node, var, "value", **self.callee(value))
+            c = self.callee(value)
+            if c is not None:
+                self.bind(fn, node, var, "value", **c)
         elif value.kind == "composite_literal" and (type_ := self.type_name(value.get("type"))):
             self.bind(fn, node, var, "typed", type=type_)
         elif value.kind == "call_expression" and (c := self.call(value)) is not None:
