@@ -25,14 +25,25 @@ from sylvan.sources import files as sources
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, files: DataFrame, several: bool = True):
-        self.spark, self.files, self.several = ship(spark), files.select("path", "lang", "source"), several
+    def __init__(self, spark: SparkSession, files: DataFrame, several: bool = True, written: bool = False):
+        """``written``: whether ``files`` is read from a table as it is. If not, it is written to one first."""
+        self.spark, self.given, self.several, self.written = ship(spark), files.select("path", "lang", "source"), several, written
 
     @classmethod
     def of(cls, spark: SparkSession, paths: str | list[str], lang: str | None = None, no_ignore: bool = False) -> Engine:
         found = sources.jobs(paths, lang, no_ignore)
         return cls(spark, sources.read(spark, found), len(found) > 1)
 
+    @cached_property
+    def files(self) -> DataFrame:
+        return self.given if self.written else materialise(self.given, "files")
+
+    @cached_property
+    def languages(self) -> tuple[str, ...]:
+        """Languages that the files are in: a plan is made for these only."""
+        present = {r["lang"] for r in self.nodes.select("lang").distinct().collect()}  # as many rows as languages
+        return tuple(x for x in LANGUAGES if x in present)
+
     @cached_property
     def nodes(self) -> DataFrame:
         return materialise(sources.nodes(self.files), "nodes")
@@ -49,8 +60,8 @@ class Engine:
     def definitions(self) -> DataFrame:
         return outlines.definitions(self.relations)
 
-    def search(self, query: str, body: bool = False, compat: bool = False, langs: tuple[str, ...] = LANGUAGES) -> DataFrame:
-        return searches.search(self.nodes, query, self.files, langs, body, compat)
+    def search(self, query: str, body: bool = False, compat: bool = False) -> DataFrame:
+        return searches.search(self.nodes, query, self.files, self.languages, body, compat)
 
     def outline(self) -> DataFrame:
         return outlines.outline(self.relations)

@@ -778,6 +778,8 @@ class Rust(Expressions):
             return self.leaf("float_literal" if real else "integer_literal")
         if t.type == "char":
             return self.leaf("char_literal")
+        if t.type != "string":
+            return self.error()
         self.next()
         raw = re.match(r"[bc]?r", t.text) is not None
         a = t.text.index('"') + 1
