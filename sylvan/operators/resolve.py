@@ -75,11 +75,11 @@ class Index:
 
     def answer(self, requests: DataFrame, imports: DataFrame) -> DataFrame:
         """path, ord, level, step, best, guess from requests (path, ord, level, step, how, key, total):
-        how: file, dir, unique, any; total: the key whose number tells a guess. ``imports``: (path, ikey)."""
+        how: file, dir, any; total: the key whose number tells a guess. ``imports``: (path, ikey)."""
         r = requests.withColumn("dir", folder(F.col("path")))
         r = r.join(self.all, "key").join(self.all.select(F.col("key").alias("total"), F.col("n").alias("n_total")), "total")
         r = r.join(self.file, ["key", "path"], "left").join(self.dir, ["key", "dir"], "left")
-        r = r.where((F.col("how") == "any") | (F.col("how") == "file") & F.col("best_file").isNotNull() | (F.col("how") == "dir") & F.col("best_dir").isNotNull() | (F.col("how") == "unique") & (F.col("n_total") == 1))
+        r = r.where((F.col("how") == "any") | (F.col("how") == "file") & F.col("best_file").isNotNull() | (F.col("how") == "dir") & F.col("best_dir").isNotNull())
         number = F.when(F.col("how") == "file", F.col("n_file")).when(F.col("how") == "dir", F.col("n_dir")).otherwise(F.col("n_total"))
         near = F.when((F.col("how") == "dir") | (F.col("best_file").isNull()), F.struct(F.lit(1).alias("loc"), F.col("best_dir").alias("best"))).otherwise(F.struct(F.lit(0).alias("loc"), F.col("best_file").alias("best")))
         r = r.select(*ITEM, "step", "key", number.alias("number"), F.col("best").alias("any"), F.when(near["best"].isNotNull(), near).alias("near"))
@@ -145,6 +145,12 @@ class Resolver:
     def __init__(self, rel: DataFrame):
         self.rel = rel
         self.defs = materialise(definitions(rel), "defs")
+        self.languages = {r["lang"] for r in rel.select("lang").distinct().collect()} & {"go", "rust"}  # as many rows as languages
+        if self.languages:
+            self.scopes(rel)
+
+    def scopes(self, rel: DataFrame) -> None:
+        """What calls in Rust and Go resolve by."""
         self.index = Index(self.defs)
         last = F.max(F.struct("ord", "segs")).alias("m")
         self.imports = materialise(rel.where("rel = 'import'").groupBy("path", "lang", "name").agg(last).select("path", "lang", F.col("name").alias("local"), F.col("m.segs").alias("route")), "imports")
@@ -157,10 +163,8 @@ class Resolver:
         self.params = rel.where("rel = 'param'").groupBy("path", "fn_line", "var").agg(F.min(F.struct("ord", "type")).alias("p")).select("path", "fn_line", "var", F.col("p.type").alias("param_type"))
         self.bounds = rel.where("rel = 'bound'").select("path", "fn_line", F.col("var").alias("type_param"), F.struct("ord", F.col("type").alias("trait")).alias("bound"))
         self.fns = rel.where("rel = 'fn'").groupBy("path", F.col("line").alias("fn_line")).agg(F.max(F.struct("ord", "receiver", "via_trait")).alias("f")).select("path", "fn_line", F.col("f.receiver").alias("impl_type"), F.col("f.via_trait").alias("trait_name"))
-        self.targets = {
-            "go": materialise(dispatch_go(self.defs), "dispatch-go"),
-            "rust": materialise(dispatch_rust(self.defs, rel.where("rel = 'impl'")), "dispatch-rust"),
-        }
+        made = {"go": lambda: dispatch_go(self.defs), "rust": lambda: dispatch_rust(self.defs, rel.where("rel = 'impl'"))}
+        self.targets = {lang: materialise(made[lang](), f"dispatch-{lang}") for lang in sorted(self.languages)}
 
     # ---- call sites
 
@@ -189,6 +193,19 @@ class Resolver:
         """caller, display, line, target (null: outside), is_guess, path, ord, pos of every resolved site;
         of equal (caller, display, target) the first site."""
         sites = materialise(self.sites(), "sites")
+        # other languages: a name that one definition in the whole project has
+        best = F.struct("path", "line", "ord", "def_id")
+        lone = self.defs.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("best")).where("n = 1")
+        hits = sites.where("ckind = 'name'").select("path", "ord", "name").distinct().join(lone, "name").select("path", "ord", "best", F.lit(False).alias("guess"))
+        if self.languages:
+            hits = hits.unionByName(self.cascade(sites.where("ckind <> 'name'")).select("path", "ord", "best", "guess"))
+        found = sites.join(hits, ["path", "ord"], "left")
+        rows = found.select("caller", F.col("name").alias("display"), F.col("best.def_id").alias("target"), F.struct("path", "ord", "line", F.coalesce("guess", F.lit(False)).alias("guess")).alias("first"))
+        rows = rows.groupBy("caller", "display", "target").agg(F.min("first").alias("first"))
+        return rows.select("caller", "display", F.col("first.line").alias("line"), "target", F.col("first.guess").alias("is_guess"), F.col("first.path").alias("path"), F.col("first.ord").alias("ord"))
+
+    def cascade(self, sites: DataFrame) -> DataFrame:
+        """path, ord, level, step, best, guess of call sites in Rust and Go."""
         levels: list[DataFrame] = []
         items = sites.select("path", "lang", "ord", F.lit(0).alias("level"), "fn_line", "line", *CALLEE).distinct()
         for level in range(LEVELS):
@@ -202,10 +219,7 @@ class Resolver:
             after = materialise(self.resolve(items, hits), "hits")
             discard(hits, items)
             hits = after
-        found = sites.join(hits.select("path", "ord", "best", "guess"), ["path", "ord"], "left")
-        rows = found.select("caller", F.col("name").alias("display"), F.col("best.def_id").alias("target"), F.struct("path", "ord", "line", F.coalesce("guess", F.lit(False)).alias("guess")).alias("first"))
-        rows = rows.groupBy("caller", "display", "target").agg(F.min("first").alias("first"))
-        return rows.select("caller", "display", F.col("first.line").alias("line"), "target", F.col("first.guess").alias("is_guess"), F.col("first.path").alias("path"), F.col("first.ord").alias("ord"))
+        return hits
 
     # ---- one level
 
@@ -232,7 +246,7 @@ class Resolver:
         asked = self.requests(items)
         answers = self.index.answer(asked, self.ikeys)
         inner = items.where("ckind = 'bare' and inner is not null").select(*ITEM, F.lit(0).alias("step"), F.col("inner").alias("best"), F.col("inner_guess").alias("guess"))
-        sent = [self.dispatched(items.where(F.col("lang") == lang), self.targets[lang]) for lang in ("go", "rust")]
+        sent = [self.dispatched(items.where(F.col("lang") == lang), targets) for lang, targets in self.targets.items()]
         every = materialise(reduce(DataFrame.unionByName, [answers, inner, *sent]), "answers")
         least = every.groupBy(*ITEM).agg(F.min("step").alias("least"))
         return every.join(least, list(ITEM)).where("step = least").select(*ITEM, "step", "best", "guess").distinct()
@@ -285,6 +299,5 @@ class Resolver:
             ask(types, F.col("step") + 1, "any", _key("m", F.col("type"), name)),
             ask(fallback, far, "any", _key("nm", name), _key("n", name)),
             ask(fallback, far + 1, "any", _key("no", name), _key("n", name)),
-            ask(items.where("ckind = 'name'"), 10, "unique", _key("n", name)),
         ]
         return reduce(DataFrame.unionByName, out)
