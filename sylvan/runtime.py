@@ -67,6 +67,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def release() -> None:
+    """Give a worker's free memory back: workers live on, and what the allocators keep adds up."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def forget(spark: SparkSession) -> None:
     """Delete all tables that this application wrote to the shared folder."""
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sylvan/{spark.sparkContext.applicationId}")  # noqa: SLF001
