@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.runtime import ship
+from sylvan.runtime import release, ship
 
 #: Characters of a leaf.
 LEAF = 8192
 #: Remembered words of a worker; the memory is emptied when full.
-MEMO = 300_000
+MEMO = 100_000
 CUT = re.compile(r"(?<=\S) (?=\S)")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -202,6 +202,7 @@ def encode_with_digest(docs: DataFrame, ranks: tuple[str, str] | None = None) ->
                 pa.array([b for _, _, b in done], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+        release()
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     return given.mapInArrow(run, "doc_id long, source string, token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -217,5 +218,6 @@ def digest(docs: DataFrame, ranks: tuple[str, str] | None = None) -> DataFrame:
             done = [_ids_and_digest(bpe, x) for x in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array([len(ids) // 4 for ids, _, _ in done], pa.int64()), pa.array([a for _, a, _ in done], pa.string()), pa.array([b for _, _, b in done], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

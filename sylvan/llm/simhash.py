@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.llm.components import components
-from sylvan.runtime import discard, materialise, ship
+from sylvan.runtime import discard, materialise, release, ship
 
 SEED = 42
 WORDS = 3
@@ -83,6 +83,7 @@ def fingerprints(docs: DataFrame, *ids: str) -> DataFrame:
         for batch in batches:
             fps = [_signed(fingerprint(x)) for x in batch.column(len(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(ids)], pa.array(fps, pa.int64())], names=[*ids, "fp"])
+        release()
 
     return given.mapInArrow(run, schema)
 

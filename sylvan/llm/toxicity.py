@@ -34,17 +34,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.runtime import ship
+from sylvan.runtime import release, ship
 
 #: Labelled rows of each class that the models are fitted on, at most.
-PER_CLASS = 2000
+PER_CLASS = 3000
 #: Lengths of word beginnings that may be signs.
 BEGINNINGS = (4, 5, 6, 7)
 #: Mined voters, and features of the classifier, at most.
 VOTERS, FEATURES = 150, 6000
 #: Documents of the sample that a mined sign is in, at least.
 SUPPORT = 5
-MEMO = 300_000
+MEMO = 100_000
 
 # A fixed lexicon: common insults in the languages of the corpus.
 LEXICON = frozenset(
@@ -284,8 +284,11 @@ def score_column(model: Model):
     """A vectorised function of the text column."""
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series([model.score(x) for x in text], dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
+            yield pd.Series([model.score(x) for x in text], dtype="float64")
+        model._memo.clear()  # noqa: SLF001
+        release()
 
     return score
 
