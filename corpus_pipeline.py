@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.llm import bpe, mixing, simhash, toxicity
+from sylvan.llm import bpe, mixing, near_dup, toxicity
 from sylvan.runtime import shared_dir, ship, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,9 +28,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest doc_id stays."""
+    """Of each group of near-duplicates (five-word shingles, a Jaccard similarity of 0.8 or more) the
+    document of the smallest doc_id stays."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return near_dup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("simhash_near_dedup", drop_near_duplicates),
+    ("near_dedup", drop_near_duplicates),
     ("source_mixing", mix_sources),
     ("byte_bpe", encode),
 ]
