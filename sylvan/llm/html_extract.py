@@ -13,6 +13,12 @@ menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or
 by their element, role, class or id. Constant texts are left out where the content node
 is a plain container; an article's text is never cut.
 
+Which texts are constant is counted over all pages of a host that have no article or main
+element, in the cluster: a text at a place (the path of tags and classes) is constant if it
+stands on at least two pages and on ``SHARE`` of them. Copies and near copies count once: pages whose longest
+text that isn't on most pages (``MOSTLY``) is the same are one page. The node that holds the content
+is still taken from the wrapper of at most ``PAGES`` pages.
+
 A page that doesn't align with its host's wrapper, or is alone on its host, is judged by
 its own tree. Null html is empty; null URLs and those without a host are one host; html
 may be cut off anywhere, elements left open end with their parents. Repeated rows are
@@ -39,6 +45,8 @@ from sylvan.runtime import materialise, ship
 
 #: Pages of a host that its wrapper is induced from, at most.
 PAGES = 8
+#: Share of a host's pages that hold a constant text, at least; and that hold what can't tell pages apart.
+SHARE, MOSTLY = 0.05, 0.5
 #: Wrappers are broadcast up to this many bytes in all, and joined beyond.
 BROADCAST_BYTES = 16 << 20
 #: Chosen pages are looked up by broadcast up to this many (two numbers each).
@@ -428,8 +436,58 @@ def own_content(page: list[Folded]) -> tuple[list[Node], bool]:
     return (best.nodes, True) if best else (page[0].nodes, False)
 
 
-def extract(source: str | None, host_wrapper: str | None = None) -> str:
-    """Main text of a page: its blocks, two newlines between."""
+def places(page: list[Folded]) -> list[tuple[int, str]]:
+    """The page's texts, each with a number for its place and itself."""
+    out: list[tuple[int, str]] = []
+
+    def walk(f: Folded, path: str) -> None:
+        path = digest(f"{path}/{f.key}")
+        out.extend((int(digest(f"{path} {t}"), 16) >> 1, t) for t in own_blocks(f))
+        for x in f.below:
+            walk(x, path)
+
+    walk(page[0], "")
+    return out
+
+
+def constant_texts(rows: DataFrame, share: float = SHARE) -> DataFrame:
+    """host and ``constants``, the numbers (see :func:`places`) of the texts that are constant on it, from all of its
+    pages without an article or main element. ``rows``: host, html, and h, a hash of the html."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, pages, numbers, sizes = [], [], [], []
+            for host, h, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                page = top(source)
+                for number, text in () if own_content(page)[1] else dict(places(page)).items():
+                    hosts.append(host)
+                    pages.append(h)
+                    numbers.append(number)
+                    sizes.append(len(text))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(x, pa.int64()) for x in (pages, numbers, sizes)]], names=["host", "h", "t", "size"])
+
+    seen = rows.where("html is not null").select("host", "h", "html").mapInArrow(run, "host string, h long, t long, size long")
+    seen = materialise(seen.distinct(), "html-seen")
+    pages = seen.groupBy("host").agg(F.countDistinct("h").alias("pages"))
+    # what a page is told apart by: its longest text that is not on most pages, else its longest
+    held = seen.groupBy("host", "t").agg(F.count(F.lit(1)).alias("held")).join(pages, "host")
+    held = held.select("host", "t", (F.col("held") > F.greatest(F.lit(1.0), F.col("pages") * MOSTLY)).alias("mostly"))
+    known = seen.join(held, ["host", "t"]).groupBy("host", "h").agg(F.max(F.struct(~F.col("mostly"), "size", "t"))["t"].alias("mark"))
+    known = materialise(known, "html-marks")
+    kinds = known.groupBy("host").agg(F.countDistinct("mark").alias("kinds"))
+    found = seen.join(known, ["host", "h"]).groupBy("host", "t").agg(F.countDistinct("mark").alias("n")).join(kinds, "host")
+    found = found.where(F.col("n") >= F.greatest(F.lit(2.0), F.col("kinds") * share))
+    return found.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list(F.col("t"))).cast("array<string>"), ",").alias("constants"))
+
+
+@lru_cache(maxsize=512)
+def numbers(constants: str) -> frozenset[int]:
+    return frozenset(map(int, constants.split(",")))
+
+
+def extract(source: str | None, host_wrapper: str | None = None, constants: str | None = None) -> str:
+    """Main text of a page: its blocks, two newlines between. ``constants``: the host's constant texts
+    by :func:`constant_texts`, empty if it has none; without it the wrapper's own count."""
     if not source:
         return ""
     page = top(source)
@@ -440,8 +498,10 @@ def extract(source: str | None, host_wrapper: str | None = None) -> str:
         hit = next((f for f, w in pairs if w.content), None)
         if hit is not None and (not main or any(is_main(n) for n in hit.nodes)):
             nodes, main = hit.nodes, any(is_main(n) for n in hit.nodes)
-        if not main:
+        if not main and constants is None:
             constant = {t for f, w in pairs for t in own_blocks(f) if digest(t) in w.constant}
+    if not main and constants:
+        constant = {t for number, t in places(page) if number in numbers(constants)}
     return "\n\n".join(t for n in nodes for t in blocks(n) if t not in constant)
 
 
@@ -466,12 +526,14 @@ def extract_pages(pages: DataFrame, per_host: int = PAGES) -> DataFrame:
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [found]}).dropna()
 
     wrappers = materialise(sample.groupBy("host").applyInPandas(learn, "host string, wrapper string"), "html-wrappers")
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
-    met = rows.select("page_id", "url", "html", "host").join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left").select("page_id", "url", "html", "wrapper")
+    wrappers = materialise(wrappers.join(constant_texts(rows), "host", "full"), "html-hosts")
+    lengths = F.length("host") + F.coalesce(F.length("wrapper"), F.lit(0)) + F.coalesce(F.length("constants"), F.lit(0))
+    size = wrappers.agg(F.sum(lengths)).first()[0] or 0
+    met = rows.select("page_id", "url", "html", "host").join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left").select("page_id", "url", "html", "wrapper", F.coalesce("constants", F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [extract(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return met.mapInArrow(run, SCHEMA)

@@ -64,3 +64,16 @@ def test_rows(spark):
     assert by[25]["text"].startswith("A title number 25") and "rights" not in by[25]["text"] and "Welcome" not in by[25]["text"]
     assert by[50]["text"] == "x" and by[51]["text"] == "" and all(r["n_chars"] == len(r["text"]) for r in got)
     assert H.extract_pages(pages.limit(0)).collect() == []
+
+
+def test_constant_texts_are_counted_over_all_pages(spark):
+    def page(i, story):
+        notice = "<div>Closed on Mondays</div>" if i % 10 == 0 else ""
+        return soup(story).replace("<div>Follow", f"{notice}<div>Follow").replace("A title number", f"Edition {i}: a title number")
+
+    # a notice on a tenth of the pages, and a story that stands on twelve of 212 under twelve titles
+    rows = [(i, f"http://d.org/{i}", page(i, i)) for i in range(200)] + [(1000 + i, f"http://d.org/c{i}", page(1000 + i, 500)) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 212 and not any("Mondays" in t or "Follow us" in t for t in got.values())
+    assert all("first paragraph of story 500" in got[1000 + i] and "second one of 500" in got[1000 + i] for i in range(12))
+    assert all(f"Edition {i}: a title" in got[i] and f"second one of {i} " in got[i] for i in range(200))
