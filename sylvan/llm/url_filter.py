@@ -129,7 +129,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + BLOCK_PATTERN
     index = rarest(rules, token_counts(site, rules))
     if len(rules) <= inline:
         return _inline(site, rules, index)
-    return _joined(site, index)
+    return _joined(site, rules, index)
 
 
 def _verdict(site_rule_: Column, pattern: Column) -> list[Column]:
@@ -143,7 +143,7 @@ def _verdict(site_rule_: Column, pattern: Column) -> list[Column]:
 def _inline(site: DataFrame, rules: tuple[Rule, ...], index: dict[str, list[Rule]]) -> DataFrame:
     """Candidates by the tokens; then one regular expression per candidate, compiled once per task
     because each is a literal behind a test of its candidacy."""
-    order = {r: i for i, r in enumerate(rules)}
+    order = {r: i for i, r in reversed(list(enumerate(rules)))}
     numbers = {t: sorted(order[r] for r in rs) for t, rs in index.items()}
     lookup = F.create_map(*[x for t, ns in sorted(numbers.items()) for x in (F.lit(t), F.array(*[F.lit(n) for n in ns]))])
     known = F.array(*[F.lit(t) for t in sorted(numbers)])
@@ -162,12 +162,13 @@ def _inline(site: DataFrame, rules: tuple[Rule, ...], index: dict[str, list[Rule
     return out.select("page_id", "host", "path", *_verdict(F.col("__best"), F.col("__pattern")))
 
 
-def _joined(site: DataFrame, index: dict[str, list[Rule]]) -> DataFrame:
+def _joined(site: DataFrame, rules: tuple[Rule, ...], index: dict[str, list[Rule]]) -> DataFrame:
     """The same for long rule lists: distinct sites meet the index on the token."""
-    rows = [(t, i, r.verdict, r.text, r.regex, r.site) for t, rs in sorted(index.items()) for i, r in enumerate(rs)]
+    order = {r: i for i, r in reversed(list(enumerate(rules)))}
+    rows = [(t, order[r], r.verdict, r.text, r.regex, r.site) for t, rs in sorted(index.items()) for r in rs]
     table = site.sparkSession.createDataFrame(rows, "token string, __n int, __verdict string, __text string, __regex string, __is_site boolean")
     distinct = site.select("__site", "__tokens").distinct()
     met = distinct.select("__site", F.explode("__tokens").alias("token")).join(table, "token").where(F.expr("__site rlike __regex"))
     rank = F.struct(F.length("__text").alias("n"), (-F.col("__n")).alias("i"), F.col("__verdict").alias("verdict"), F.col("__text").alias("text"))
-    found = met.groupBy("__site").agg(F.max(F.when(F.col("__is_site"), rank)).alias("__best"), F.min(F.when(~F.col("__is_site"), F.col("__text"))).alias("__pattern"))
+    found = met.groupBy("__site").agg(F.max(F.when(F.col("__is_site"), rank)).alias("__best"), F.min(F.when(~F.col("__is_site"), F.struct("__n", "__text")))["__text"].alias("__pattern"))
     return site.join(found, "__site", "left").select("page_id", "host", "path", *_verdict(F.col("__best"), F.col("__pattern")))

@@ -34,6 +34,13 @@ def test_the_joined_way_judges_alike(pages):
     assert [r[:5] for r in one] == [r[:5] for r in two]
 
 
+def test_both_ways_report_the_first_pattern_given(spark):
+    rules = tuple(url_filter.block_pattern(p) for p in ("viagra^", "casino.", "viagra^", "bets."))
+    pages = spark.createDataFrame([(1, "http://bets.casino.net/viagra"), (2, "http://bets.casino.net/")], "page_id long, url string")
+    for inline in (0, 200):
+        assert [r[5] for r in found(url_filter.judge(pages, rules, inline))] == ["viagra^", "casino."]
+
+
 def test_no_rules_and_no_rows(spark, pages):
     assert {r[4] for r in found(url_filter.judge(pages, ()))} == {"allow"}
     assert found(url_filter.judge(pages.limit(0))) == []
