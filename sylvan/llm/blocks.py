@@ -51,12 +51,12 @@ def search(rows: DataFrame, every: int, find: Callable[[pd.DataFrame, pd.DataFra
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def stacked(frame: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def stacked(frame: pd.DataFrame, repeats: bool = False) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Ids (ascending) and matrix for each number of dimensions: vectors of different lengths don't
-    meet. Of rows that repeat a vec_id the one with the smallest vector counts."""
-    if not frame["vec_id"].is_unique:
+    meet. Of rows that repeat a vec_id the one with the smallest vector counts, or with ``repeats`` each."""
+    if not repeats and not frame["vec_id"].is_unique:
         frame = frame.assign(t=frame["v"].map(tuple)).sort_values(["vec_id", "t"]).drop_duplicates("vec_id").drop(columns="t")
-    frame = frame.sort_values("vec_id")
+    frame = frame.sort_values("vec_id", kind="stable")
     out = {}
     for n, part in frame.groupby(frame["v"].map(len)):
         out[int(n)] = (part["vec_id"].to_numpy(np.int64), np.array(part["v"].tolist(), np.float64).reshape(len(part), int(n)))

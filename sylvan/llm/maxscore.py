@@ -11,8 +11,8 @@ of what is left still reaches the threshold. Reaching it is enough to stay, so t
 are never lost. Shards are merged by a top-k for each query.
 
 Vectors that are null or hold null or non-finite components take no part. Scores
-beyond a long are held at its ends. Rows that repeat a vec_id count once (see
-:func:`sylvan.llm.blocks.stacked`); vectors of different lengths don't meet.
+beyond a long are held at its ends. Rows that repeat a vec_id and its vector count
+once, those with another vector each; vectors of different lengths don't meet.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sylvan.llm.blocks import merged, search, stacked, vectors
 
@@ -82,8 +81,15 @@ def one_query(post: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarr
     return best(score, ids[at], k)
 
 
+def scaled(frame: pd.DataFrame) -> pd.DataFrame:
+    """The distinct rows (a vec_id's rows are in one shard), with whole numbers."""
+    if not frame["vec_id"].is_unique:
+        frame = frame[~frame.assign(t=frame["v"].map(tuple)).duplicated(["vec_id", "t"])]
+    return frame.assign(v=[np.clip(np.floor(SCALE * np.asarray(v, np.float64)), -(2.0**63), 2.0**63) for v in frame["v"]])
+
+
 def shard_search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int = K) -> pd.DataFrame:
-    docs, wanted = stacked(candidates), stacked(queries)
+    docs, wanted = stacked(candidates, True), stacked(queries, True)
     owners, ids, scores = [], [], []
     for n, (qid, q) in wanted.items():
         if n not in docs:
@@ -108,5 +114,4 @@ def shard_search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int = K) ->
 
 def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, **sizes: int) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id ``every`` divides, its k best among all other rows."""
-    rows = vectors(embeddings).select("vec_id", F.transform("v", lambda x: F.floor(F.lit(float(SCALE)) * x).cast("double")).alias("v"))
-    return search(rows, every, lambda c, q: shard_search(c, q, k), "long", k, True, **sizes)
+    return search(vectors(embeddings), every, lambda c, q: shard_search(scaled(c), scaled(q), k), "long", k, True, **sizes)

@@ -101,3 +101,11 @@ def test_empty_tables_and_few_rows(spark):
 
 def test_chi_square():
     assert abs(ann.chi_square(15.507, 8) - 0.95) < 1e-4 and abs(ann.quantile(0.95, 8) - 15.507) < 1e-3
+
+
+def test_maxscore_takes_each_vector_of_a_repeated_id(spark):
+    rows = [(20, [1.0, 0.0], ""), (3, [2.0, 0.0], ""), (3, [1.0, 5.0], ""), (3, [1.0, 5.0], ""), (4, [1.001, 0.0], ""), (4, [1.002, 0.0], ""), (20, [0.0, 1.0], "")]
+    got = [tuple(r) for r in maxscore.top_k(table(spark, rows)).sort("rank").collect()]
+    # both vectors of the query's id are queries, as in the SQL; 4's two have the same whole numbers
+    both = [(320 * 64, 3), (128 * 64, 3), (4096, 3), (4096, 4), (4096, 4), (0, 3), (0, 4), (0, 4)]
+    assert [(s, i) for _, _, i, s in got] == both
