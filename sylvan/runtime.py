@@ -8,6 +8,7 @@ below ``spark.checkpoint.dir`` and read again.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import threading
@@ -15,7 +16,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCK = threading.Lock()
 _SHIPPED: set[str] = set()
@@ -45,10 +48,13 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where the cluster names none (tests)."""
+    """The shared folder the cluster names; a local one only where the cluster names none and is this machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
     if not _OWN_DIR:
         folder = tempfile.mkdtemp(prefix="sylvan-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -67,6 +73,29 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def free(df: DataFrame, *stems: str) -> list[str]:
+    """Names for internal columns that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column ``name`` that tells its rows apart and is the same whenever the frame is read: the file and
+    the place in it where the frame comes from files, else a number that is written once."""
+    try:
+        out = df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+        out.schema  # noqa: B018  analysed here
+    except AnalysisException:  # a frame that is not a scan of files
+        out = materialise(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))), "numbered")
+    return out
+
+
 def release() -> None:
     """Give a worker's free memory back: workers live on, and what the allocators keep adds up."""
     import ctypes
