@@ -185,27 +185,29 @@ def _ids_and_digest(bpe: TreeBpe, text: str | None) -> tuple[bytes, str, str]:
     return ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 
 
-def encode_with_digest(docs: DataFrame, ranks: tuple[str, str] | None = None) -> DataFrame:
-    """doc_id, source, ``token_ids`` (array of int), n_tokens, ids_sha256 and decoded_sha256 of every row."""
+def encode_with_digest(docs: DataFrame, ranks: tuple[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, the columns to ``keep``, ``token_ids`` (array of int), n_tokens, ids_sha256 and
+    decoded_sha256 of every row."""
     ship(docs.sparkSession)
+    n = 2 + len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = engine(*(ranks or default_ranks()))
         for batch in batches:
-            done = [_ids_and_digest(bpe, x) for x in batch.column(2).to_pylist()]
+            done = [_ids_and_digest(bpe, x) for x in batch.column(n).to_pylist()]
             columns = [
-                batch.column(0),
-                batch.column(1),
+                *batch.columns[:n],
                 pa.array([np.frombuffer(ids, dtype="<i4") for ids, _, _ in done], pa.list_(pa.int32())),
                 pa.array([len(ids) // 4 for ids, _, _ in done], pa.int64()),
                 pa.array([a for _, a, _ in done], pa.string()),
                 pa.array([b for _, _, b in done], pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", *keep, "token_ids", "n_tokens", "ids_sha256", "decoded_sha256"])
         release()
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(run, "doc_id long, source string, token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *keep, F.col("text").cast("string").alias("text"))
+    kept = "".join(f"{c} {kind}, " for c, kind in given.dtypes[2:n])
+    return given.mapInArrow(run, f"doc_id long, source string, {kept}token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def digest(docs: DataFrame, ranks: tuple[str, str] | None = None) -> DataFrame:

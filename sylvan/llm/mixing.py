@@ -16,15 +16,21 @@ inside a source are counted in pieces of the MD5 range, so that a source of a
 third of all rows is no task's burden.
 
 Sources without a quota of their own, null included, share ``OTHER``'s. Repeated
-rows count each; rows that agree in all columns are interchangeable.
+rows count each; rows that agree in all columns are interchangeable. Rows of one doc_id
+(a null one counts as an empty text) are told apart by a hash of all their columns. Texts play no
+part, however long. An empty table gives an empty one, and columns of any name pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sylvan.runtime import free
+
 OTHER = "other"
 #: Target weights, in hundredths.
 QUOTAS = {"src0": 20, "src1": 10, "src2": 8, "src3": 6, "src4": 4, "src5": 4, "src6": 4, "src7": 4, "src8": 4, "src9": 4, OTHER: 32}
@@ -32,6 +38,8 @@ BLOCK = 16
 SEED = "mix-1"
 #: Hex digits of the MD5 by which a source's rows are dealt out: 4,096 pieces of each source.
 DIGITS = 3
+#: Rows of a file of :func:`in_order`.
+ROWS = 8192
 
 
 def period(quotas: dict[str, int]) -> list[str]:
@@ -72,50 +80,73 @@ def phases(blocks: dict[str, int], quotas: dict[str, int]) -> tuple[list[tuple],
     return spans, places
 
 
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as a literal of the plan."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema}>>")))
+
+
 def mix(docs: DataFrame, quotas: dict[str, int] = QUOTAS, block: int = BLOCK, seed: str = SEED, digits: int = DIGITS) -> DataFrame:
     """All rows and columns of ``docs`` (doc_id, source and any others) with ``mix_group``,
     ``mix_block`` (number in its source), ``mix_slot`` and ``mix_rank`` (slot * block + place in
     the block): ordered by mix_rank, the sources interleave. Such columns in the input are replaced."""
+    added = ["mix_group", "mix_block", "mix_slot", "mix_rank"]
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
+    return schedule(docs, added, quotas, block, seed, digits)
+
+
+def schedule(docs: DataFrame, names: list[str], quotas: dict[str, int] = QUOTAS, block: int = BLOCK, seed: str = SEED, digits: int = DIGITS) -> DataFrame:
+    """All rows and columns of ``docs`` with the schedule's columns by ``names`` that no column of ``docs`` has:
+    group, block, slot and rank as :func:`mix` has them."""
     if OTHER not in quotas or min(quotas.values()) < 1:
         raise ValueError(f"quotas are whole numbers from 1, and {OTHER!r} has one")
     spark = docs.sparkSession
-    added = ["mix_group", "mix_block", "mix_slot", "mix_rank"]
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
-    own = [g for g in quotas if g != OTHER]
+    g, h, p, n, at, b, j, k, first, many, slot0, q, total, phase, place, before = free(docs, "g", "h", "p", "n", "at", "b", "j", "k", "first", "many", "slot0", "q", "total", "phase", "place", "before")
+    own = [x for x in quotas if x != OTHER]
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.withColumns({
-        "__g": F.when(F.col("source").isin(own), F.col("source")).otherwise(F.lit(OTHER)) if own else F.lit(OTHER),
-        "__h": key,
+        g: F.when(F.col("source").isin(own), F.col("source")).otherwise(F.lit(OTHER)) if own else F.lit(OTHER),
+        h: key,
     })
-    rows = rows.withColumn("__p", F.substring("__h", 1, digits))
-    counts = rows.groupBy("__g", "__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("__g", "__p", F.coalesce("__before", F.lit(0)).alias("__before"))
-    sizes = {r["__g"]: r["n"] for r in counts.groupBy("__g").agg(F.sum("__n").alias("n")).collect()}  # a row for each quota at most
-    spans, places = phases({g: -(-n // block) for g, n in sizes.items()}, quotas)
+    rows = rows.withColumn(p, F.substring(h, 1, digits))
+    counts = rows.groupBy(g, p).agg(F.count(F.lit(1)).alias(n))
+    earlier = F.sum(n).over(Window.partitionBy(g).orderBy(p).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(g, p, F.coalesce(earlier, F.lit(0)).alias(before))
+    sizes = {r[0]: r[1] for r in counts.groupBy(g).agg(F.sum(n)).collect()}  # a row for each quota at most
+    spans, places = phases({x: -(-size // block) for x, size in sizes.items()}, quotas)
 
     # rows that agree in doc_id and source are told apart by all that can be compared
     rest = [F.col(f"`{c}`") for c, kind in docs.dtypes if not any(x in kind for x in ("map", "variant"))]
     tie = [F.col("doc_id"), F.col("source"), F.xxhash64(*rest)] if rest else []
-    place = F.row_number().over(Window.partitionBy("__g", "__p").orderBy("__h", *tie)) - 1
-    rows = rows.withColumn("__i", place).join(before, ["__g", "__p"]).withColumn("__i", F.col("__i") + F.col("__before"))
-    rows = rows.withColumn("__b", F.floor(F.col("__i") / block))
+    rows = rows.withColumn(at, F.row_number().over(Window.partitionBy(g, p).orderBy(h, *tie)) - 1)
+    rows = rows.join(starts, [g, p]).withColumn(at, F.col(at) + F.col(before)).withColumn(b, F.floor(F.col(at) / block))
     # both tables are bounded by the quotas, not by the input
-    span = F.broadcast(spark.createDataFrame(spans, "__g string, __phase int, __from long, __many long, __slot0 long, __q long, __total long"))
-    spot = F.broadcast(spark.createDataFrame(places, "__phase int, __g string, __k long, __at long"))
-    rows = rows.join(span, "__g").where((F.col("__b") >= F.col("__from")) & (F.col("__b") < F.col("__from") + F.col("__many")))
-    rows = rows.withColumn("__j", F.col("__b") - F.col("__from")).withColumn("__k", F.col("__j") % F.col("__q"))
-    rows = rows.join(spot, ["__phase", "__g", "__k"])
-    slot = F.col("__slot0") + F.floor(F.col("__j") / F.col("__q")) * F.col("__total") + F.col("__at")
+    span = F.broadcast(literal(spark, spans, f"{g} string, {phase} int, {first} bigint, {many} bigint, {slot0} bigint, {q} bigint, {total} bigint"))
+    spot = F.broadcast(literal(spark, places, f"{phase} int, {g} string, {k} bigint, {place} bigint"))
+    rows = rows.join(span, g).where((F.col(b) >= F.col(first)) & (F.col(b) < F.col(first) + F.col(many)))
+    rows = rows.withColumn(j, F.col(b) - F.col(first)).withColumn(k, F.col(j) % F.col(q)).join(spot, [phase, g, k])
+    slot = F.col(slot0) + F.floor(F.col(j) / F.col(q)) * F.col(total) + F.col(place)
+    group_, block_, slot_, rank_ = names
     return rows.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.col("__g").alias("mix_group"),
-        F.col("__b").cast("long").alias("mix_block"),
-        slot.cast("long").alias("mix_slot"),
-        (slot * block + F.col("__i") % block).cast("long").alias("mix_rank"),
+        F.col(g).alias(group_),
+        F.col(b).cast("long").alias(block_),
+        slot.cast("long").alias(slot_),
+        (slot * block + F.col(at) % block).cast("long").alias(rank_),
     )
 
 
+def in_order(docs: DataFrame, rows_a_file: int = ROWS) -> DataFrame:
+    """All rows and columns of ``docs`` in the order of the schedule: written, files in order of name and rows in order
+    within hold consecutive ranks. Ranks are dense, so a row's file is arithmetic and no range is sampled."""
+    names = free(docs, "mix_group", "mix_block", "mix_slot", "mix_rank")
+    rank = names[3]
+    files = max(1, -(-docs.count() // rows_a_file))
+    placed = schedule(docs, names).repartitionById(files, F.least(F.floor(F.col(rank) / rows_a_file), F.lit(files - 1)).cast("int"))
+    return placed.sortWithinPartitions(rank).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def oracle(quotas: dict[str, int] = QUOTAS, block: int = BLOCK, seed: str = SEED) -> str:
     """DuckDB SQL that sends block after block: an independent simulation of the schedule, one
     recursion step a slot."""

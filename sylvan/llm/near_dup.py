@@ -1,21 +1,26 @@
-"""Near-duplicates by true Jaccard similarity: an exact set-similarity join (the pipeline's stage).
+"""SimHash near-duplicates by true Jaccard similarity: the pipeline's stage.
 
 Two texts are near-duplicates when their sets of five-word shingles (64-bit hashes; words as
 operator 4 has them) have a Jaccard similarity of 0.8 or more, and groups are connected by
-such pairs. The join misses no pair. In one order of all shingles, two sets that reach a
-similarity of t share a shingle among the first n - ceil(t * n) + 1 of each (prefix filter), and
-at the first such shingle enough of both is left to reach it (positional filter). Of what meets,
-pairs go whose histograms of shingles can't share enough; the rest is verified on the whole
-sets. Any order is right; the one used puts the shingles last that are common
+such pairs. Operator 4's Golay-code keys give the first candidates: SimHash fingerprints of the
+shingle sets that differ in at most two bits. Each candidate is verified on the whole sets.
+
+At a similarity of 0.8 two fingerprints of 64 bits differ in ten bits on average, which no key of
+operator 4 reaches. So that no link is lost, a prefix-filter join closes the components that the
+fingerprints have found: in one order of all shingles, two sets that reach a similarity of t share a
+shingle among the first n - ceil(t * n) + 1 of each, and at the first such shingle enough of
+both is left to reach it (positional filter). Pairs of one component need no comparison. Of the others
+those go whose shingles, counted in 256 cells, differ in too many of them or can't share enough; the rest is verified
+on the whole sets. Any order is right; the one used puts the shingles last that are common
 in a sample of the texts, so that few texts meet at them.
 
-Where many texts meet, each is at first compared with one of those it meets only, another in
-each round; pairs of one component need no further comparison. When few pairs of different
-components are left, or after ``STARS`` rounds, all of them are compared. So components are
-those of all pairs, but a group of near copies costs no square of its size.
+Where texts of several components meet, each is at first compared with one of those it meets only. When
+few pairs of different components are left, or after ``STARS`` rounds, all of them are compared. So
+components are those of all pairs, but a group of near copies costs no square of its size.
 
 Texts of less than five words are one shingle. Null, empty and blank texts have none and are
-copies of each other. Texts with equal sets are joined once.
+copies of each other. Texts with equal sets are joined once. Texts of any length are compared whole; an
+empty table gives an empty one; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -28,8 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sylvan.llm import simhash
 from sylvan.llm.components import components
-from sylvan.runtime import discard, materialise, release, ship
+from sylvan.runtime import discard, free, materialise, numbered, release, ship
 
 SEED = 42
 WORDS = 5
@@ -41,8 +47,8 @@ SAMPLE = 32
 COMMON = 65_536
 #: Rounds of comparisons with one text, at most.
 STARS = 6
-#: All pairs are compared when there are at most so many for each row that may meet another.
-FEW = 4
+#: All pairs of different components are compared when at most so many meet for each row that may meet another.
+FEW = 64
 #: Cells of a set's histogram.
 CELLS = 256
 #: Rows whose sets are wanted, or that go, are looked up by broadcast up to this many.
@@ -69,16 +75,24 @@ def name(found: np.ndarray) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the order of (count if common, hash): as many as a similar set must meet."""
+def ranked(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """The first shingles of a set in the order of (count if common, hash), as many as a similar set must meet; and
+    how common the set's shingles are on average."""
     n = len(found)
     if not n:
-        return found
+        return found, 0.0
     often = np.zeros(n, np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
         often = np.where(common[at] == found, counts[at], 0)
-    return found[np.argsort(often, kind="stable")][: n - -(-PART * n // WHOLE) + 1]
+    return found[np.argsort(often, kind="stable")][: n - -(-PART * n // WHOLE) + 1], float(often.mean())
+
+
+def parity(found: np.ndarray) -> np.ndarray:
+    """Which cells hold an odd number of the set's shingles, as four longs: two sets that differ in d shingles
+    differ in at most d cells."""
+    odd = np.bincount(found & (CELLS - 1), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def histogram(found: np.ndarray) -> bytes:
@@ -100,12 +114,18 @@ def similar(shared: Column, n: Column, m: Column) -> Column:
     return (PART + WHOLE) * shared >= PART * (n + m)
 
 
+def may_be_near(n: Column, m: Column, odd: Column, odd_: Column) -> Column:
+    """Whether sets of n and m shingles with these parities may reach the similarity."""
+    differ = sum((F.bit_count(odd[i].bitwiseXOR(odd_[i])) for i in range(CELLS // 64)), F.lit(0))
+    return (PART + WHOLE) * differ <= (WHOLE - PART) * (n + m)
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, values)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *values])))
 
 
-def _common(numbered: DataFrame, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _common(rows: DataFrame, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of the sample hold, ascending, and how many do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,38 +134,49 @@ def _common(numbered: DataFrame, sample: int, most: int) -> tuple[np.ndarray, np
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text))], names=["shingle"])
         release()
 
-    some = numbered.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).select("text").mapInArrow(run, "shingle long")
-    rows = some.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(most).collect()
-    rows = sorted((r["shingle"], r["count"]) for r in rows)
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).select("text").mapInArrow(run, "shingle long")
+    found = some.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(most).collect()
+    found = sorted((r["shingle"], r["count"]) for r in found)
+    return np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64)
 
 
-def prints(numbered: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """doc_id and __row of each row, ``fp`` that names its set, the set's size ``n``, prefix and histogram (``cells``)."""
-    given = numbered.select("doc_id", "__row", "text")
-    schema = given.drop("text").withColumns({"fp": F.lit(0).cast("long"), "n": F.lit(0), "prefix": F.array(F.lit(0).cast("long")), "cells": F.lit(b"")}).schema
+def prints(rows: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """doc_id, rank and row of each of ``rows``, ``fp`` that names its set, the SimHash of the set (``sim``), the
+    set's size ``n``, its prefix and how common its shingles are, parity (``odd``) and histogram (``cells``)."""
+    given = rows.select("doc_id", "rank", "row", "text")
+    added = {"fp": F.lit(0).cast("long"), "sim": F.lit(0).cast("long"), "n": F.lit(0), "prefix": F.array(F.lit(0).cast("long")), "often": F.lit(0.0), "odd": F.array(F.lit(0).cast("long")), "cells": F.lit(b"")}
+    schema, names = given.drop("text").withColumns(added).schema, ["doc_id", "rank", "row", *added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x) for x in batch.column(2).to_pylist()]
-            parts = [pa.array([name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _lists([prefix(s, common, counts) for s in sets]), pa.array([histogram(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *parts], names=["doc_id", "__row", "fp", "n", "prefix", "cells"])
+            sets = [shingles(x) for x in batch.column(3).to_pylist()]
+            first = [ranked(s, common, counts) for s in sets]
+            parts = [
+                pa.array([name(s) for s in sets], pa.int64()),
+                pa.array([simhash.of_set(s) for s in sets], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int32()),
+                _lists([x for x, _ in first]),
+                pa.array([x for _, x in first], pa.float64()),
+                _lists([parity(s) for s in sets]),
+                pa.array([histogram(s) for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *parts], names=names)
         release()
 
     return given.mapInArrow(run, schema)
 
 
-def _sets(numbered: DataFrame, rows: DataFrame) -> DataFrame:
-    """fp and the whole set (``held``) of the given (fp, __row)."""
-    if rows.count() <= BROADCAST_KEYS:
-        rows = F.broadcast(rows)
+def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """fp and the whole set (``held``) of the wanted (fp, row)."""
+    if wanted.count() <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(x) for x in batch.column(1).to_pylist()])], names=["fp", "held"])
         release()
 
-    return numbered.select("__row", "text").join(rows, "__row").select("fp", "text").mapInArrow(run, "fp long, held array<long>")
+    return rows.select("row", "text").join(wanted, "row").select("fp", "text").mapInArrow(run, "fp long, held array<long>")
 
 
 def _possible(pairs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -166,60 +197,85 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(similar(F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b"))).select("u", "v")
 
 
-def classes(numbered: DataFrame, sample: int = SAMPLE, most: int = COMMON, few: int = FEW) -> tuple[DataFrame, DataFrame]:
+def by_fingerprint(known: DataFrame) -> DataFrame:
+    """Candidates (u, v) of operator 4: one set for each fingerprint meets the others of that fingerprint, and those
+    that stand for the fingerprints at two bits or less. ``known``: fp and sim of distinct sets."""
+    sims = materialise(known.groupBy("sim").agg(F.min("fp").alias("first")), "near-sims")
+    near = simhash.links(sims.select(F.col("sim").alias("fp")))
+    same = known.join(sims, "sim").where("fp <> first").select("first", "fp")
+    ends = near.join(sims.toDF("u", "a"), "u").join(sims.toDF("v", "b"), "v").select("a", "b")
+    return same.union(ends).toDF("u", "v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def classes(rows: DataFrame, sample: int = SAMPLE, most: int = COMMON, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """Prints of all rows, and (node, root) of the sets that have near-duplicates: one root for each component.
 
-    ``numbered``: doc_id, text and __row, a number of its own for each row that is the same whenever it is read."""
-    spark = ship(numbered.sparkSession)
-    numbered = numbered.withColumn("text", F.col("text").cast("string"))
-    marks = materialise(prints(numbered, *_common(numbered, sample, most)), "near-prints")
-    posts = marks.select("fp", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    ``rows``: doc_id, text, rank (what tells rows of one doc_id apart), and row as :func:`numbered` gives it."""
+    ship(rows.sparkSession)
+    rows = rows.withColumn("text", F.col("text").cast("string"))
+    marks = materialise(prints(rows, *_common(rows, sample, most)), "near-prints")
+    posts = marks.select("fp", "n", "often", "odd", F.posexplode("prefix").alias("pos", "shingle"))
     each = Window.partitionBy("shingle")
     met = posts.withColumns({"lo": F.min("fp").over(each), "hi": F.max("fp").over(each)}).where("lo < hi").drop("lo", "hi")
     met = materialise(met.distinct(), "near-met")
-    known = marks.join(met.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("__row", "cells")).alias("m"))
-    known = materialise(known.select("fp", "m.__row", "m.cells"), "near-known")
-    rows = met.count()
-    links, roots, turn = materialise(spark.createDataFrame([], "u long, v long"), "near-links"), None, 0
+    known = marks.join(met.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("row", "sim", "cells")).alias("m"))
+    known = materialise(known.select("fp", "m.row", "m.sim", "m.cells"), "near-known")
+
+    def compared(candidates: DataFrame) -> DataFrame:
+        pairs = materialise(_possible(candidates, known.select("fp", "cells")), "near-pairs")
+        ends = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
+        wanted = materialise(known.select("fp", "row").join(ends, "fp", "left_semi"), "near-wanted")
+        sets = materialise(_sets(rows, wanted), "near-sets")
+        found = materialise(_verified(pairs, sets), "near-links")
+        discard(pairs, wanted, sets)
+        return found
+
+    links = compared(by_fingerprint(known.select("fp", "sim")))
+    roots, turn = components(links), 0
     while True:
-        at = met.withColumn("c", F.col("fp"))
-        if roots is not None:
-            at = met.join(roots, met["fp"] == roots["node"], "left").select(met["*"], F.coalesce("root", "fp").alias("c"))
+        at = met.join(roots, met["fp"] == roots["node"], "left").select(met["*"], F.coalesce("root", "fp").alias("c"))
         at = materialise(at, "near-at")
-        many = at.groupBy("shingle", "c").count().groupBy("shingle").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        left = many.select(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()[0] or 0
-        last = turn >= STARS or left <= few * rows
+        # shingles at which several components meet, and how many pairs of different ones
+        held = at.groupBy("shingle", "c").count().groupBy("shingle")
+        held = held.agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        held = materialise(held, "near-held")
+        size = held.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs")).first()
+        last = turn >= STARS or turn > 0 and (size["pairs"] or 0) <= few * (size["rows"] or 0)
+        left = materialise(at.join(held.select("shingle"), "shingle", "left_semi"), "near-left")
+        discard(at, held, met)
+        met = left.drop("c")
+        met._sylvan_path = left._sylvan_path  # noqa: SLF001
+        carried = ("fp", "n", "pos", "odd", "c")
         if last:
-            other = at.select("shingle", *[F.col(x).alias(f"{x}_") for x in ("fp", "n", "pos", "c")])
-            pairs = at.join(other, "shingle").where("fp < fp_")
-        else:
-            pivot = F.min(F.struct(F.xxhash64("fp", F.lit(turn)), F.col("fp").alias("fp_"), F.col("n").alias("n_"), F.col("pos").alias("pos_"), F.col("c").alias("c_")))
-            pairs = at.join(at.groupBy("shingle").agg(pivot.alias("p")).select("shingle", "p.fp_", "p.n_", "p.pos_", "p.c_"), "shingle")
-        pairs = pairs.where((F.col("c") != F.col("c_")) & similar(F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")), F.col("n"), F.col("n_")))
-        pairs = pairs.select(F.least("fp", "fp_").alias("u"), F.greatest("fp", "fp_").alias("v")).distinct()
-        pairs = materialise(_possible(pairs, known.select("fp", "cells")), "near-pairs")
-        ends = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
-        wanted = materialise(known.select("fp", "__row").join(ends, "fp", "left_semi"), "near-wanted")
-        sets = materialise(_sets(numbered, wanted), "near-sets")
-        found = materialise(links.union(_verified(pairs, sets)).distinct(), "near-links")
-        discard(links, at, pairs, wanted, sets, roots)
-        links, roots, turn = found, components(found), turn + 1
+            other = left.select("shingle", *[F.col(x).alias(f"{x}_") for x in carried])
+            pairs = left.join(other, "shingle").where("fp < fp_")
+        else:  # at first with the set of the commonest shingles: in a group of copies the one that most are near to
+            order = [] if turn else [-F.col("often")]
+            pivot = F.min(F.struct(*order, F.xxhash64("fp", F.lit(turn)), *[F.col(x).alias(f"{x}_") for x in carried]))
+            pairs = left.join(left.groupBy("shingle").agg(pivot.alias("p")).select("shingle", *[f"p.{x}_" for x in carried]), "shingle")
+        share = similar(F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")), F.col("n"), F.col("n_"))
+        pairs = pairs.where((F.col("c") != F.col("c_")) & share & may_be_near(F.col("n"), F.col("n_"), F.col("odd"), F.col("odd_")))
+        found = compared(pairs.select(F.least("fp", "fp_").alias("u"), F.greatest("fp", "fp_").alias("v")).distinct())
+        both = materialise(links.union(found).distinct(), "near-links")
+        discard(links, found, roots)
+        links, roots, turn = both, components(both), turn + 1
         if last:
-            discard(met, known)
+            discard(met, known, links)
             return marks, roots
 
 
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """One row of each group of near-duplicates, whole: the one of the smallest doc_id (null last), and of rows
-    that share it the first in the table. ``docs`` has to be read from files, so that rows are numbered alike each time."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    marks, roots = classes(numbered, **options)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("first")
+    """One row of each group of near-duplicates, whole: the one of the smallest doc_id (null last); rows that share it
+    are told apart by a hash of their columns."""
+    (row,) = free(docs, "row")
+    given = numbered(docs, row)
+    marks, roots = classes(given.select("doc_id", "text", simhash.order_of(docs).alias("rank"), F.col(row).alias("row")), **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rank", "row")).alias("first")
     # rows of one set first, so that a large group is added up before it is dealt out
     each = materialise(marks.groupBy("fp").agg(first), "near-first")
-    group = each.join(roots, each["fp"] == roots["node"], "left").withColumn("__root", F.coalesce("root", "fp"))
-    kept = group.groupBy("__root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
-    gone = materialise(marks.select("__row").join(kept, "__row", "left_anti"), "near-gone")
+    group = each.join(roots, each["fp"] == roots["node"], "left").withColumn("group", F.coalesce("root", "fp"))
+    kept = group.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    gone = materialise(marks.select(F.col("row").alias(row)).join(kept, row, "left_anti"), "near-gone")
     if gone.count() <= BROADCAST_KEYS:
         gone = F.broadcast(gone)
-    return numbered.join(gone, "__row", "left_anti").drop("__row")
+    return given.join(gone, row, "left_anti").drop(row)

@@ -22,7 +22,9 @@ smallest of them. Components are found by contraction in the cluster; nothing of
 all documents reaches the driver.
 
 Null texts count as empty, empty texts have fingerprint zero and are linked like
-any other. Rows with a null doc_id take part and name no component.
+any other. Rows with a null doc_id take part and name no component. Texts of any length
+are fingerprinted whole; repeated rows are returned each, with one component; an empty
+table gives an empty one. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,11 +34,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.llm.components import components
-from sylvan.runtime import discard, materialise, release, ship
+from sylvan.runtime import discard, free, materialise, numbered, release, ship
 
 SEED = 42
 WORDS = 3
@@ -51,6 +53,17 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0xC75
 
 
+def majority(sums: np.ndarray, n: int) -> int:
+    """The bits that are set in over half of n hashes, as an unsigned number."""
+    return int(sum(1 << i for i in np.flatnonzero(2 * sums > n).tolist()))
+
+
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    bits = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
 def fingerprint(text: str | None) -> int:
     """The text's SimHash as an unsigned number."""
     import xxhash
@@ -63,10 +76,14 @@ def fingerprint(text: str | None) -> int:
     digest, sums, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(words) - WORDS + 1
     for at in range(0, n, STEP):
         part = words[at : at + STEP + WORDS - 1]
-        h = [digest(b" ".join(t), SEED) for t in zip(part, part[1:], part[2:])]
-        bits = np.unpackbits(np.array(h, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums += bits.sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * sums > n).tolist()))
+        sums += bit_sums(np.array([digest(b" ".join(t), SEED) for t in zip(part, part[1:], part[2:])], dtype="<u8"))
+    return majority(sums, n)
+
+
+def of_set(found: np.ndarray) -> int:
+    """The SimHash of a set of hashes, as a signed number; zero for none."""
+    sums = sum((bit_sums(found[at : at + STEP].view(np.uint64)) for at in range(0, len(found), STEP)), np.zeros(64, np.int64))
+    return _signed(majority(sums, len(found)))
 
 
 def _signed(n: int) -> int:
@@ -197,12 +214,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class, whole: the one of the smallest doc_id (null last), and of rows that
-    share it the first in the table. ``docs`` has to be read from files, so that rows are numbered alike twice."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    fps, table = classes(numbered, "doc_id", "__row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("first")
+    """One row of each class, whole: the one of the smallest doc_id (null last); rows that share it are told
+    apart by a hash of their columns."""
+    (row, rank) = free(docs, "row", "rank")
+    rows = numbered(docs, row).withColumn(rank, order_of(docs))
+    fps, table = classes(rows.select("doc_id", "text", row, rank), "doc_id", row, rank)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(rank).alias("rank"), F.col(row).alias("row"))).alias("first")
     # rows of one fingerprint first, so that a large group is added up before it is dealt out
     each = materialise(fps.groupBy("fp").agg(first), "simhash-first")
-    kept = each.join(table, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").drop("__row")
+    kept = each.join(table, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return rows.drop(rank).join(kept, row, "left_semi").drop(row)
+
+
+def order_of(docs: DataFrame) -> Column:
+    """A hash of the columns that can be compared: rows that agree in it are interchangeable."""
+    rest = [F.col(f"`{c}`") for c, kind in docs.dtypes if not any(x in kind for x in ("map", "variant"))]
+    return F.xxhash64(*rest)

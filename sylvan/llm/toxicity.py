@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.runtime import release, ship
+from sylvan.runtime import free, release, ship
 
 #: Labelled rows of each class that the models are fitted on, at most.
 PER_CLASS = 3000
@@ -303,4 +303,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that the model does not call toxic, whole; columns of any name pass through."""
     ship(docs.sparkSession)
-    return docs.withColumn("__toxicity", score_column(model)(F.col("text").cast("string"))).where("__toxicity < 0.5").drop("__toxicity")
+    (name,) = free(docs, "toxicity")
+    return docs.withColumn(name, score_column(model)(F.col("text").cast("string"))).where(F.col(name) < 0.5).drop(name)

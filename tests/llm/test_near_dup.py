@@ -4,7 +4,7 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
-from sylvan.llm import near_dup
+from sylvan.llm import near_dup, simhash
 from tests.llm.test_simhash import brute_components
 
 
@@ -65,6 +65,29 @@ def test_histograms_rule_out_no_near_duplicate():
     assert ruled_out > len(sets)
 
 
+def test_parities_rule_out_no_near_duplicate():
+    sets = [near_dup.shingles(t) for t in corpus()]
+    odd = [near_dup.parity(s) for s in sets]
+    ruled_out = 0
+    for a, b in combinations(range(len(sets)), 2):
+        differ = sum(int(x ^ y).bit_count() for x, y in zip(odd[a].view("u8").tolist(), odd[b].view("u8").tolist(), strict=True))
+        possible = 9 * differ <= len(sets[a]) + len(sets[b])
+        ruled_out += not possible
+        assert possible or not near(set(sets[a].tolist()), set(sets[b].tolist()))
+    assert ruled_out > len(sets)
+
+
+def test_the_fingerprints_find_links_of_their_own(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(900)}" for _ in range(1500)]
+    texts = [" ".join([*base[:k], "new", *base[k + 1 :]]) for k in range(0, 1500, 100)] + ["other words of a text of its own"]
+    sets = {near_dup.name(s): s for s in map(near_dup.shingles, texts)}
+    known = spark.createDataFrame([(n, simhash.of_set(s)) for n, s in sets.items()], "fp long, sim long")
+    got = {(r["u"], r["v"]) for r in near_dup.by_fingerprint(known).collect()}
+    true = {tuple(sorted(p)) for p in combinations(sets, 2) if near(set(sets[p[0]].tolist()), set(sets[p[1]].tolist()))}
+    assert len(true) == 105 and len(got) > 3 and got <= true
+
+
 def test_the_stage_drops_a_copy_that_differs_in_many_bits(spark, tmp_path):
     words = [f"w{i}" for i in range(200)]
     other = [*words[:50], "x", *words[51:150], "y", *words[151:]]

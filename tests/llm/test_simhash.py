@@ -114,3 +114,14 @@ def test_keep_one_and_empty_table(spark, tmp_path):
     classes = {(r["component_id"], r["fingerprint"] if r["component_id"] is None else "") for r in simhash.near_duplicates(docs).collect()}
     assert len(got) == len(classes) and {x for x in got if x is not None} == {c for c, _ in classes if c is not None}
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("local", [5, 40, 10_000])
+def test_components_in_any_number_of_tasks(spark, local):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(60)] + [(500, 501 + i) for i in range(50)] + [(7, 7)]
+    edges = spark.createDataFrame(pairs, "u long, v long").union(spark.createDataFrame([(None, 3)], "u long, v long"))
+    got = {r["node"]: r["root"] for r in components(edges.repartition(6), local).collect()}
+    want = brute_components([p for p in pairs if p[0] != p[1]], {x for p in pairs if p[0] != p[1] for x in p})
+    assert set(got) == set(want)
+    assert len(set(got.values())) == len(set(want.values())) == len({(got[x], want[x]) for x in got})
