@@ -7,23 +7,26 @@ projections gives projected neighbours nearest first; each is verified by its tr
 distance. The search stops when the next projected distance l and the k-th best true
 distance d satisfy chi2_M(l^2 / d^2) >= ``SURE``: a point nearer than d would have
 been met before with at least that probability. Expected recall is thus at least
-``SURE``; every row is indexed. Shards are merged by a top-k for each query.
+``SURE``; every row is indexed. d is also held by the k-th distance among the seed rows that all queries meet
+first (see :mod:`sylvan.llm.blocks`). Shards are merged by a top-k for each query.
 
-Vectors that are null, zero, or hold null or non-finite components take no part. Rows
-that repeat a vec_id count once; vectors of different lengths don't meet.
+Vectors that are null, zero, or hold null or non-finite components take no part. Every row of another vec_id is a
+candidate, also those that repeat a vec_id or a vector; ties go to the smaller vec_id. Equal queries count once,
+different vectors of one vec_id share its ranks. Vectors of different lengths don't meet; long ones make shards of
+fewer rows. An empty table gives an empty one; other columns play no part.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.blocks import merged, search, stacked, vectors
+from sylvan.llm.blocks import Found, Stack, search, vectors
 
 K = 10
 EVERY = 100
@@ -91,10 +94,11 @@ class KdTree:
                 yield b, self.below[node]
 
 
-def one_query(tree: KdTree, ids: np.ndarray, d: np.ndarray, q: np.ndarray, projected: np.ndarray, own: int, k: int, stop: float) -> tuple[np.ndarray, np.ndarray]:
+def one_query(tree: KdTree, ids: np.ndarray, d: np.ndarray, q: np.ndarray, projected: np.ndarray, own: int, k: int, stop: float, bound: float = math.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the k nearest found. ``bound``: a distance that k rows elsewhere are known to have."""
     found_d, found_i, kth = np.empty(0), np.empty(0, np.int64), math.inf
-    for bound, members in tree.nearest_first(projected):
-        if bound > stop * kth:
+    for gap, members in tree.nearest_first(projected):
+        if len(found_d) == k and gap > stop * min(kth, bound * bound):
             break
         diff = d[members] - q
         dist, who = (diff * diff).sum(axis=1), ids[members]
@@ -109,25 +113,52 @@ def one_query(tree: KdTree, ids: np.ndarray, d: np.ndarray, q: np.ndarray, proje
     return np.sqrt(found_d), found_i
 
 
-def shard_search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int = K, m: int = M, sure: float = SURE, leaf: int = LEAF) -> pd.DataFrame:
-    docs, wanted = stacked(candidates), stacked(queries)
+def shard(k: int, m: int = M, sure: float = SURE, leaf: int = LEAF) -> Callable[[Stack], Callable[[int, np.ndarray, np.ndarray, np.ndarray], Found]]:
+    """Index of a shard: a kd-tree over the projections for each number of dimensions."""
     stop = quantile(sure, m)
-    owners, ids, scores = [], [], []
-    for n, (qid, q) in wanted.items():
-        if n not in docs:
-            continue
-        cid, d = docs[n]
-        directions = np.random.default_rng(SEED).standard_normal((n, m))
-        tree = KdTree(d @ directions, leaf)
-        for own, row, projected in zip(qid.tolist(), q, q @ directions):
-            s, i = one_query(tree, cid, d, row, projected, own, k, stop)
-            owners.append(own)
-            ids.append(i)
-            scores.append(s)
-    return merged(np.array(owners, np.int64), ids, scores, np.float64)
+
+    def index(stack: Stack) -> Callable[[int, np.ndarray, np.ndarray, np.ndarray], Found]:
+        trees = {n: (KdTree(d @ directions(n, m), leaf), ids, d) for n, (ids, d) in stack.items() if n}
+
+        def look(n: int, own: np.ndarray, q: np.ndarray, bound: np.ndarray) -> Found:
+            owners, ids, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+            if n in trees:
+                tree, cid, d = trees[n]
+                for name, row, projected, limit in zip(own.tolist(), q, q @ directions(n, m), bound.tolist(), strict=True):
+                    s, i = one_query(tree, cid, d, row, projected, name, k, stop, math.inf if math.isnan(limit) else limit)
+                    owners.append(np.full(len(i), name))
+                    ids.append(i)
+                    scores.append(s)
+            return np.concatenate(owners), np.concatenate(ids), np.concatenate(scores)
+
+        return look
+
+    return index
+
+
+def directions(n: int, m: int) -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((n, m))
+
+
+def bounds(k: int) -> Callable[[Stack], Callable[[int, np.ndarray, np.ndarray], np.ndarray]]:
+    """The queries' k-th least distances among the seeds, a little enlarged for rounding."""
+
+    def bound(stack: Stack) -> Callable[[int, np.ndarray, np.ndarray], np.ndarray]:
+        def look(n: int, own: np.ndarray, q: np.ndarray) -> np.ndarray:
+            ids, d = stack.get(n, (np.empty(0, np.int64), np.empty((0, n))))
+            if len(ids) < k:
+                return np.full(len(q), np.nan)
+            square = (q * q).sum(axis=1)[:, None] + (d * d).sum(axis=1)[None, :] - 2 * q @ d.T
+            square[ids[None, :] == own[:, None]] = np.inf
+            out = np.sqrt(np.maximum(np.partition(square, k - 1, axis=1)[:, k - 1], 0)) * (1 + 1e-6)
+            return np.where(np.isfinite(out), out, np.nan)
+
+        return look
+
+    return bound
 
 
 def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, **sizes: int) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance): for each row whose vec_id ``every`` divides."""
     rows = vectors(embeddings).where(F.exists("v", lambda x: x != 0))
-    return search(rows, every, lambda c, q: shard_search(c, q, k), "double", k, False, **sizes)
+    return search(rows, every, shard(k), bounds(k), "double", k, False, **sizes)

@@ -15,7 +15,8 @@ window grows (by doubling) until it meets a cut or the end of the span: tokens
 outside it are proven stable. A text without any cut is re-encoded whole, which
 is the same definition and needs no other path.
 
-Null texts count as empty: no ids. Texts of any length are encoded whole.
+Null texts count as empty: no ids. Texts of any length are encoded whole. Repeated rows are encoded each. An empty
+table gives an empty one; other columns play no part.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from sylvan.runtime import release, ship
 
 #: Characters of a leaf.
-LEAF = 8192
+LEAF = 512
 #: Remembered words of a worker; the memory is emptied when full.
 MEMO = 100_000
 CUT = re.compile(r"(?<=\S) (?=\S)")

@@ -2,34 +2,37 @@
 
 Dimensions are query terms; a shard's column of a dimension is that term's posting
 list. In a shard a term contributes between lo and hi, its least and greatest
-product with the query's weight. Terms are taken in the order of hi - lo. They split
+product with the query's weight. Terms are taken in the order of hi - lo, added up over a batch of queries. They split
 where a document that gets no more than lo from all terms before could not reach the
-threshold (the k-th best score so far) even with hi from all that follow: the terms
-before are essential, and their postings are traversed for the whole shard; the
-others are probed, a few at a time, only for documents whose score so far plus the hi
-of what is left still reaches the threshold. Reaching it is enough to stay, so ties
-are never lost. Shards are merged by a top-k for each query.
+threshold even with hi from all that follow, for any query of the batch: the terms before are essential, and their
+postings are traversed for the whole shard, a block of documents at a time for all queries of the batch; the
+others are probed, a few at a time, only for pairs of query and document whose score so far plus the hi
+of what is left still reaches the query's threshold. The threshold is the k-th best score that the query has met so
+far: among the seed rows that all queries meet first, among the shard's first documents, and in the blocks done.
+Reaching it is enough to stay, so ties are never lost. Shards are merged by a top-k for each query.
 
 Vectors that are null or hold null or non-finite components take no part. Scores
-beyond a long are held at its ends. Rows that repeat a vec_id and its vector count
-once, those with another vector each; vectors of different lengths don't meet.
+beyond a long are held at its ends. Every row of another vec_id is a candidate, also those that repeat a vec_id or a
+vector; equal queries count once, different vectors of one vec_id share its ranks. Vectors of different lengths
+don't meet; long ones make shards of fewer rows. An empty table gives an empty one; other columns play no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from sylvan.llm.blocks import merged, search, stacked, vectors
+from sylvan.llm.blocks import Found, Stack, search, vectors
 
 K = 20
 EVERY = 20
 SCALE = 64
 #: Documents that are scored whole at first, for a threshold.
 WARM = 256
-#: Terms that are probed at a time.
-PROBE = 8
+#: Documents of a block, and terms that are probed at a time.
+BLOCK, PROBE = 16_384, 8
 
 
 def exact_type(d: np.ndarray, q: np.ndarray) -> type:
@@ -38,80 +41,121 @@ def exact_type(d: np.ndarray, q: np.ndarray) -> type:
     return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else object
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best, ties to smaller ids."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= least)
-        scores, ids = scores[keep], ids[keep]
-    order = np.lexsort((ids, -scores))[:k] if scores.dtype != object else sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
-    return scores[order], ids[order]
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The components as whole numbers."""
+    return np.clip(np.floor(SCALE * x), -(2.0**63), 2.0**63)
+
+
+def best(owners: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> Found:
+    """Of each owner's rows the k best, ties to smaller ids."""
+    order = np.lexsort((ids, -scores, owners))
+    owners, ids, scores = owners[order], ids[order], scores[order]
+    place = np.arange(len(owners)) - np.searchsorted(owners, owners)
+    keep = place < k
+    return owners[keep], ids[keep], scores[keep]
+
+
+def kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best of each row, -inf where there are fewer."""
+    if scores.shape[1] < k:
+        return np.full(len(scores), -np.inf)
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k].astype(np.float64)
 
 
-def one_query(post: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of a shard's k best for a query. post: a row of postings for each term."""
+def one_batch(post: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, block: int = BLOCK) -> Found:
+    """Places of queries, ids and scores of a shard's k best for each. ``post``: a row of postings for each term;
+    ``floor``: what the queries have to reach."""
     a, b = q * low, q * high
     lo, hi = np.minimum(a, b), np.maximum(a, b)
-    order = np.argsort(-(hi - lo), kind="stable")
-    lo, hi, w = lo[order], hi[order], q[order]
+    order = np.argsort(-(hi - lo).sum(axis=0, dtype=np.float64), kind="stable")
+    post, lo, hi, w = post[order], lo[:, order].astype(np.float64), hi[:, order].astype(np.float64), q[:, order]
+    zero = np.zeros((len(q), 1))
     # what the terms from place p on can add, and what those before add at least
-    rest, least = np.append(np.cumsum(hi[::-1])[::-1], 0), np.append(0, np.cumsum(lo))
-    n = len(ids)
-    warm = q @ post[:, :WARM]
-    others = warm[ids[:WARM] != own]
-    if n <= WARM or len(others) < k:
-        scores = warm if n <= WARM else q @ post
-        keep = ids != own
-        return best(scores[keep], ids[keep], k)
-    floor = np.partition(others, len(others) - k)[len(others) - k]
-    essential = int(np.argmax(least + rest < floor)) if (least + rest < floor).any() else len(q)
-    score = w[:essential] @ post[order[:essential]]
-    at = np.flatnonzero((score + rest[essential] >= floor) & (ids != own))
-    score = score[at]
-    for p in range(essential, len(q), PROBE):
-        step = order[p : p + PROBE]
-        score = score + w[p : p + PROBE] @ post[np.ix_(step, at)]
-        if len(score) > k:
-            # scores so far with the least that is left are a threshold as well
-            done = p + len(step)
-            floor = max(floor, np.partition(score, len(score) - k)[len(score) - k] + least[-1] - least[done])
-            alive = score + rest[done] >= floor
-            if not alive.all():
-                at, score = at[alive], score[alive]
-    return best(score, ids[at], k)
-
-
-def scaled(frame: pd.DataFrame) -> pd.DataFrame:
-    """The distinct rows (a vec_id's rows are in one shard), with whole numbers."""
-    if not frame["vec_id"].is_unique:
-        frame = frame[~frame.assign(t=frame["v"].map(tuple)).duplicated(["vec_id", "t"])]
-    return frame.assign(v=[np.clip(np.floor(SCALE * np.asarray(v, np.float64)), -(2.0**63), 2.0**63) for v in frame["v"]])
-
-
-def shard_search(candidates: pd.DataFrame, queries: pd.DataFrame, k: int = K) -> pd.DataFrame:
-    docs, wanted = stacked(candidates, True), stacked(queries, True)
+    rest, least = np.hstack([np.cumsum(hi[:, ::-1], axis=1)[:, ::-1], zero]), np.hstack([zero, np.cumsum(lo, axis=1)])
+    warm = (w @ post[:, :WARM]).astype(np.float64)
+    warm[ids[None, :WARM] == own[:, None]] = -np.inf
+    floor = np.fmax(floor, kth(warm, k))
+    found: Found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    for at in range(0, len(ids), block):
+        out = least + rest < floor[:, None]
+        essential = int(np.where(out.any(axis=1), out.argmax(axis=1), len(order)).max(initial=0))
+        part, names = post[:, at : at + block], ids[at : at + block]
+        score = (w[:, :essential] @ part[:essential]).astype(np.float64)
+        alive = score + rest[:, essential, None] >= floor[:, None]
+        alive &= names[None, :] != own[:, None]
+        i, j = np.nonzero(alive)
+        score = score[i, j]
+        for p in range(essential, len(order), PROBE):
+            score = score + (w[i, p : p + PROBE] * part[p : p + PROBE, j].T).sum(axis=1)
+            done = min(p + PROBE, len(order))
+            stay = score + rest[i, done] >= floor[i]
+            i, j, score = i[stay], j[stay], score[stay]
+        found = best(np.append(found[0], i), np.append(found[1], names[j]), np.append(found[2], score), k)
+        full = np.bincount(found[0], minlength=len(q)) >= k
+        last = np.searchsorted(found[0], np.arange(len(q)), side="right") - 1
+        floor = np.where(full, np.fmax(floor, found[2][last] if len(found[2]) else -np.inf), floor)
+    return found
+
+
+def in_full(cid: np.ndarray, d: np.ndarray, own: np.ndarray, q: np.ndarray, k: int) -> Found:
+    """The same for numbers that no machine type holds, query by query."""
+    whole = np.array([[int(x) for x in r] for r in d.tolist()], object).reshape(d.shape)
     owners, ids, scores = [], [], []
-    for n, (qid, q) in wanted.items():
-        if n not in docs:
-            continue
-        cid, d = docs[n]
-        kind = exact_type(d, q)
-        if kind is object:
-            d, q = np.array([[int(x) for x in r] for r in d], object).reshape(d.shape), np.array([[int(x) for x in r] for r in q], object).reshape(q.shape)
-        post = np.ascontiguousarray(d.T.astype(kind))
-        low, high = (post.min(axis=1), post.max(axis=1)) if n else (np.empty(0, kind), np.empty(0, kind))
-        for own, row in zip(qid.tolist(), q.astype(kind)):
-            if kind is object or not n:
-                keep = cid != own
-                s, i = best((d.astype(kind) @ row)[keep], cid[keep], k)
-            else:
-                s, i = one_query(post, cid, low, high, row, own, k)
-            owners.append(own)
-            ids.append(i)
-            scores.append(np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in s], np.int64))
-    return merged(np.array(owners, np.int64), ids, scores, np.int64)
+    for name, row in zip(own.tolist(), q.tolist(), strict=True):
+        s = [min(max(sum(int(x) * y for x, y in zip(row, r, strict=True)), -(2**63)), 2**63 - 1) for r in whole]
+        top = sorted((-x, c) for x, c in zip(s, cid.tolist(), strict=True) if c != name)[:k]
+        owners += [name] * len(top)
+        ids += [c for _, c in top]
+        scores += [-x for x, _ in top]
+    return np.array(owners, np.int64), np.array(ids, np.int64), np.array(scores, np.int64)
+
+
+def shard(k: int) -> Callable[[Stack], Callable[[int, np.ndarray, np.ndarray, np.ndarray], Found]]:
+    """Index of a shard: the postings of each number of dimensions."""
+
+    def index(stack: Stack) -> Callable[[int, np.ndarray, np.ndarray, np.ndarray], Found]:
+        whole = {n: (ids, scaled(d)) for n, (ids, d) in stack.items()}
+        posts: dict = {}
+
+        def look(n: int, own: np.ndarray, q: np.ndarray, floor: np.ndarray) -> Found:
+            if n not in whole:
+                return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+            (ids, d), q = whole[n], scaled(q)
+            kind = exact_type(d, q)
+            if kind is object:
+                return in_full(ids, d, own, q, k)
+            if (n, kind) not in posts:
+                post = np.ascontiguousarray(d.T.astype(kind))
+                posts[n, kind] = post, post.min(axis=1), post.max(axis=1)
+            at, found, scores = one_batch(posts[n, kind][0], ids, *posts[n, kind][1:], own, q.astype(kind), np.where(np.isnan(floor), -np.inf, floor), k)
+            return own[at], found, scores.astype(np.int64)
+
+        return look
+
+    return index
+
+
+def bounds(k: int) -> Callable[[Stack], Callable[[int, np.ndarray, np.ndarray], np.ndarray]]:
+    """The queries' k-th best scores among the seeds."""
+
+    def bound(stack: Stack) -> Callable[[int, np.ndarray, np.ndarray], np.ndarray]:
+        whole = {n: (ids, scaled(d)) for n, (ids, d) in stack.items()}
+
+        def look(n: int, own: np.ndarray, q: np.ndarray) -> np.ndarray:
+            q = scaled(q)
+            if n not in whole or exact_type(whole[n][1], q) is object:
+                return np.full(len(q), np.nan)
+            ids, d = whole[n]
+            score = q @ d.T
+            score[ids[None, :] == own[:, None]] = -np.inf
+            out = kth(score, k)
+            return np.where(np.isinf(out), np.nan, out)
+
+        return look
+
+    return bound
 
 
 def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, **sizes: int) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id ``every`` divides, its k best among all other rows."""
-    return search(vectors(embeddings), every, lambda c, q: shard_search(scaled(c), scaled(q), k), "long", k, True, **sizes)
+    return search(vectors(embeddings), every, shard(k), bounds(k), "long", k, True, **sizes)

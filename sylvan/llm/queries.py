@@ -92,11 +92,11 @@ select page_id, host, path, {best} as rule, {verdict} as verdict, pattern from (
 
 _TOP_SQL = """
 with rows as (
-  select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
+  select vec_id, embedding as e, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
   select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
-  from rows q join rows c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+  from (select distinct vec_id, e, v from rows where vec_id % 20 = 0) q join rows c on q.vec_id <> c.vec_id)
 select query_id, cast(rank as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 20
 """

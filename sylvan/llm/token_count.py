@@ -1,6 +1,6 @@
 """Token counts by overlap resynchronisation (operator 3).
 
-A huge text is encoded in chunks that overlap, with offsets. A *piece boundary*
+A text is encoded in chunks that overlap, with offsets. A *piece boundary*
 is the offset where the pre-splitter starts a piece. The pre-splitter scans left
 to right without look-behind, so from a true boundary on it behaves alike
 whatever came before; and it looks at most two characters past a piece's end, so
@@ -11,38 +11,43 @@ boundary of the left one, both agree from there on: the counts are spliced there
 If the overlap holds no such offset it is doubled and the left chunk encoded
 again, at worst to the end of the text.
 
-Texts up to ``HUGE`` characters are counted whole. Words between single spaces
-are independent (see :mod:`sylvan.llm.bpe`) and so counted once and remembered.
+All texts go this way; one of ``CHUNK`` characters or less is one chunk, with nothing to splice. A chunk's pieces come
+from the vocabulary's pattern, and the tokens of each piece from the library, remembered by the worker; chunks with
+characters whose class differs between versions of Unicode are encoded by the library itself, with its offsets.
 Strings of added tokens (such as an end-of-text mark) split the text first, as
 the library does by default.
 
-Null texts count as empty: zero bytes, zero tokens.
+Null texts count as empty: zero bytes, zero tokens. Repeated rows are counted each. An empty table gives an empty one;
+other columns play no part.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.bpe import CUT, MEMO
+from sylvan.llm.bpe import MEMO
 from sylvan.runtime import ship
 
-#: Texts of more characters are encoded in chunks.
-HUGE = 65_536
-CHUNK = 32_768
-OVERLAP = 256
+#: Characters of a chunk, and of the overlap at first.
+CHUNK = 1_024
+OVERLAP = 64
+#: Longer pieces are not remembered.
+LONG = 64
 #: Tokens from which a document is over the limit.
 LIMIT = 512
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Characters whose class (letter, digit, white space, other) is the same in every version of Unicode.
-SETTLED = re.compile("[\t\n\r\x21-\x7e\xa1-ſ‐-‧‰-⁞]*")
-_UNSAFE = 1 << 50
+SETTLED = re.compile("[\t\n\r\x20-\x7e\xa1-ſ‐-‧‰-⁞]*")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -54,14 +59,14 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class TokenCounter:
-    def __init__(self, path: str, pattern: str, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP):
+    def __init__(self, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.huge, self.chunk, self.overlap = huge, chunk, overlap
+        self.chunk, self.overlap = chunk, overlap
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
@@ -69,7 +74,8 @@ class TokenCounter:
         self.simple = plain and spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space")
         self.split_added = re.compile("|".join(sorted(map(re.escape, self.added), key=len, reverse=True))) if self.added else None
         self.core = self._core(spec, pattern) if self.simple else None
-        self.words: dict[str, int] = _Counts(self.short)
+        self.split = regex.compile(pattern)
+        self.known: dict[str, int] = _Counts(self.core)
 
     def _core(self, spec: dict, pattern: str):
         """A faster engine for the same vocabulary, if merges rank as their results' ids."""
@@ -83,31 +89,13 @@ class TokenCounter:
             return None
         return tiktoken.Encoding("json", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def short(self, text: str) -> int:
-        """Tokens of a text without added tokens, in one piece."""
-        if self.core is not None and SETTLED.fullmatch(text.replace(" ", "")):
-            return len(self.core.encode_ordinary(text))
-        return len(self.lib.encode(text, add_special_tokens=False).ids)
-
-    def whole(self, text: str) -> int:
-        """Tokens of a text that is not huge: words between cuts are added up."""
-        if not self.simple:
-            return len(self.lib.encode(text, add_special_tokens=False).ids)
-        first, *rest = text.split(" ")
-        if not rest:
-            return self.short(text)
-        if first and not first[-1].isspace():
-            n = sum(map(self.words.__getitem__, rest))
-            if n < _UNSAFE:
-                return self.short(first) + n
-        first, *rest = CUT.split(text)
-        if not rest:
-            return self.short(text)
-        return self.short(first) + sum(map(self.words.__getitem__, rest[:-1])) + self.short(" " + rest[-1])
-
     def pieces(self, text: str, lo: int, hi: int) -> tuple[list[int], list[int]]:
         """Offsets in the text at which pieces of text[lo:hi] start, and tokens before each; then the end of both."""
-        enc = self.lib.encode(text[lo:hi], add_special_tokens=False)
+        chunk = text[lo:hi]
+        if self.core is not None and SETTLED.fullmatch(chunk):
+            found = self.split.findall(chunk)
+            return list(accumulate(map(len, found), initial=lo)), list(accumulate(map(self.known.__getitem__, found), initial=0))
+        enc = self.lib.encode(chunk, add_special_tokens=False)
         starts, counts, last = [], [], None
         for i, (w, (a, _)) in enumerate(zip(enc.word_ids, enc.offsets, strict=True)):
             if w != last:
@@ -117,7 +105,7 @@ class TokenCounter:
         return [*starts, hi], [*counts, len(enc.ids)]
 
     def spliced(self, text: str) -> int:
-        """Tokens of a huge text without added tokens."""
+        """Tokens of a text without added tokens."""
         end, total = len(text), 0
         lo, hi = 0, min(end, self.chunk + self.overlap)
         left, since = self.pieces(text, lo, hi), 0  # since: tokens of the left chunk before the last splice
@@ -127,8 +115,9 @@ class TokenCounter:
             to = min(end, seam + self.chunk + self.overlap)
             right = self.pieces(text, seam, to)
             while True:
-                stable = {p: c for p, c in zip(*left) if p >= seam and (p + 2 <= hi or hi == end)}
-                meet = next(((stable[p], c, p) for p, c in zip(*right) if p in stable and p < to), None)
+                first = bisect_left(left[0], seam)
+                stable = {p: c for p, c in zip(left[0][first:], left[1][first:], strict=True) if p + 2 <= hi or hi == end}
+                meet = next(((stable[p], c, p) for p, c in zip(*right, strict=True) if p in stable and p < to), None)
                 if meet or hi == end:
                     break
                 overlap *= 2  # alignment failed: the left chunk reaches further
@@ -146,24 +135,26 @@ class TokenCounter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if not self.simple:
-            return self.whole(text)
+        if not self.simple:  # a tokenizer that normalizes, or doesn't split at byte level
+            return len(self.lib.encode(text, add_special_tokens=False).ids)
         parts = [text]
         if self.split_added is not None and any(a in text for a in self.added):
             parts = self.split_added.split(text)
-        return len(parts) - 1 + sum((self.spliced(p) if len(p) > self.huge else self.whole(p)) for p in parts if p)
+        return len(parts) - 1 + sum(self.spliced(p) for p in parts if p)
 
 
 class _Counts(dict):
-    def __init__(self, count):
-        self.count = count
-
-    def __missing__(self, word: str) -> int:
-        if not word or word[0].isspace() or word[-1].isspace():
-            return _UNSAFE
-        if len(self) >= MEMO:
-            self.clear()
-        n = self[word] = self.count(" " + word)
+    """Tokens of a piece. A piece by itself is split into itself."""
+
+    def __init__(self, core):
+        self.core = core
+
+    def __missing__(self, piece: str) -> int:
+        n = len(self.core.encode_ordinary(piece))
+        if len(piece) <= LONG:
+            if len(self) >= MEMO:
+                self.clear()
+            self[piece] = n
         return n
 
 

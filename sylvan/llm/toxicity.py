@@ -1,20 +1,24 @@
 """Toxicity by weak supervision (operator 5).
 
-Many weak voters look at a document: words of a fixed lexicon, words and word
-beginnings mined from labelled rows, and patterns (shouting, masked letters, abuse
-in the second person). A voter fires or abstains. A generative label model, fitted by
-expectation maximisation, estimates how often each voter fires in either class and,
-from the posterior, which voters fire together beyond what the class explains;
-correlated voters share one weight between them. The given label of a training row
-is one more voter whose accuracy is estimated like the others'. A linear (logistic)
-classifier is trained on the posterior labels, over words and word beginnings, and
-scores every whole text.
+Many weak voters look at a document: a fixed lexicon for each language, patterns (shouting, masked
+letters, abuse in the second person), and groups of words and word beginnings mined from
+labelled rows. A voter fires or doesn't. The given label of a training row is one more voter whose
+accuracy is estimated like the others'. A generative label model has the true class as
+its hidden variable: the class draws the votes, and a voter may also depend on one other voter, its parent in a
+tree (the heaviest spanning forest of the voters' mutual information given the class, edges beyond chance only). So
+the parameters are the class's share, and each voter's rate of firing for each class and each vote of its parent:
+accuracies and correlations, all estimated by expectation maximisation from the votes. The given label has no
+parent and is none: it errs independently of the others given the class. A voter fires at least as often in
+class 1 as in class 0 (the one for clean texts at most). A linear (logistic) classifier is trained on the posterior
+labels, over words and word beginnings, and scores every whole text.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 5 is not 0, at most
 ``PER_CLASS`` of each class (the first by MD5 of the doc_id; the classes' true shares
-are counted over all such rows). Labels, lang, source and doc_id are never inputs of
-a score. Conflicting labels of one doc_id count as toxic; other values than 0 and 1
-are ignored. Without labelled rows the lexicon alone decides.
+are counted over all such rows). Signs are counted in the cluster; what reaches the driver is at most
+``SIGNS`` signs, and for each sampled row those it holds, however long its text. Labels, lang, source and doc_id
+are never inputs of a score. Conflicting labels of one doc_id count as toxic; other values than 0 and 1
+are ignored; of rows that share a doc_id the one with the smallest text is learnt from. Without labelled rows
+the lexicon alone decides. An empty table gives an empty result; other columns play no part.
 
 Null and empty texts get the score of a text without any sign, which is below 0.5.
 """
@@ -23,7 +27,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,28 +37,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.runtime import free, release, ship
+from sylvan.runtime import discard, free, materialise, release, ship
 
 #: Labelled rows of each class that the models are fitted on, at most.
 PER_CLASS = 3000
 #: Lengths of word beginnings that may be signs.
 BEGINNINGS = (4, 5, 6, 7)
-#: Mined voters, and features of the classifier, at most.
-VOTERS, FEATURES = 150, 6000
+#: Steps at which the number of a text's words of one beginning is a sign.
+STEPS = (1, 2, 3, 5)
+#: Mined signs, at most, best first; of these, beginnings that the classifier takes up.
+SIGNS, BEGINS = 6000, 600
+#: Voters of mined words and of mined beginnings; each has signs of like information.
+GROUPS = (12, 6)
 #: Documents of the sample that a mined sign is in, at least.
 SUPPORT = 5
 MEMO = 100_000
 
 # A fixed lexicon: common insults in the languages of the corpus.
-LEXICON = frozenset(
-    """
-    idiot idiots moron morons stupid dumb loser losers scum trash garbage worthless pathetic disgusting clown fool imbecile
-    cretin dimwit filth filthy vermin pig swine bastard bitch whore slut asshole dick jerk freak creep parasite coward liar
-    idiote imbécile crétin connard connasse salaud salope ordure pourriture abruti débile minable raclure
-    dummkopf trottel arschloch schwein drecksack abschaum versager wichser schlampe hurensohn blödmann widerlich
-    idiota imbécil estúpido estúpida basura gilipollas cabrón cabron mierda asqueroso asquerosa puta payaso perdedor
-    """.split()
+LEXICONS = (
+    frozenset(
+        """
+        idiot idiots moron morons stupid dumb loser losers scum trash garbage worthless pathetic disgusting clown fool imbecile
+        cretin dimwit filth filthy vermin pig swine bastard bitch whore slut asshole dick jerk freak creep parasite coward liar
+        """.split()
+    ),
+    frozenset("idiote imbécile crétin connard connasse salaud salope ordure pourriture abruti débile minable raclure".split()),
+    frozenset("dummkopf trottel arschloch schwein drecksack abschaum versager wichser schlampe hurensohn blödmann widerlich".split()),
+    frozenset("idiota imbécil estúpido estúpida basura gilipollas cabrón cabron mierda asqueroso asquerosa puta payaso perdedor".split()),
 )
+LEXICON = frozenset().union(*LEXICONS)
 WORD = re.compile(r"[^\W_]+")
 SHOUT = re.compile(r"\b[A-Z]{4,}!{2,}")
 MASKED = re.compile(r"\b[A-Za-z]+[*@$#]+[A-Za-z]+\b")
@@ -112,118 +122,185 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def mined(docs: list[tuple[str, ...]], y: np.ndarray) -> list[tuple[str, int]]:
+def signs_of(text: str | None) -> Iterator[tuple[str, int]]:
+    """The text's signs: (word, 0), and (beginning, step) for each step that the beginning's count of words passes."""
+    words = set(WORD.findall((text or "").lower()))
+    yield from ((w, 0) for w in words)
+    begin = Counter(w[:n] for w in words for n in BEGINNINGS if len(w) > n)
+    yield from ((b, k) for b, c in begin.items() for k in STEPS if c >= k)
+
+
+def mined(sample: DataFrame, ones: int, zeros: int) -> list[tuple[str, int]]:
     """Signs that tell the classes apart: (word, 0) or (beginning, least count), best information first,
-    at most one step for each beginning. What is counted grows with the words of the sample alone."""
-    n1, n0 = y.sum(), (1 - y).sum()
-    common = Counter(w for words in docs for w in words)
-    variety: dict[str, int] = Counter()  # words of class 1 that a beginning has
-    for w in {w for words, t in zip(docs, y, strict=True) if t for w in words}:
-        for n in BEGINNINGS:
-            if len(w) > n:
-                variety[w[:n]] += 1
-    several = {b for b, n in variety.items() if n >= SUPPORT}
-    trials = len(common) + 4 * len(variety)
-    hits = ({}, {})
-    for words, t in zip(docs, y, strict=True):
-        own = hits[0 if t else 1]
-        for key in [(w, 0) for w in words if common[w] >= SUPPORT] + [(b, k) for b, c in beginnings(words, several).items() for k in (1, 2, 3, 5) if c >= k]:
-            own[key] = own.get(key, 0) + 1
-
-    def gain(a: float, b: float) -> float:
-        return n1 * _divergence((a + 0.1) / (n1 + 1), (a + b + 0.2) / (n1 + n0 + 2)) + n0 * _divergence((b + 0.1) / (n0 + 1), (a + b + 0.2) / (n1 + n0 + 2))
-
-    pairs = ((key, a, hits[1].get(key, 0)) for key, a in hits[0].items())
-    ranked = sorted(((gain(a, b), key) for key, a, b in pairs if a + b >= SUPPORT and a * n0 > 3 * b * n1), reverse=True)
-    out, seen = [], set()
-    for g, (s, k) in ranked:
-        name = (s, k > 0)
-        if g > math.log(max(trials, 2)) and name not in seen:  # beyond what so many trials give by chance
-            seen.add(name)
-            out.append((s, k))
-    return out
-
-
-def beginnings(words: tuple[str, ...], wanted: set[str]) -> dict[str, int]:
-    """How many of the words begin with each wanted beginning."""
-    out: dict[str, int] = {}
-    for w in words:
-        for n in BEGINNINGS:
-            if len(w) > n and (b := w[:n]) in wanted:
-                out[b] = out.get(b, 0) + 1
-    return out
-
-
-def _divergence(p: float, q: float) -> float:
-    return p * math.log(p / q) + (1 - p) * math.log((1 - p) / (1 - q))
-
-
-def label_model(fires: np.ndarray, share: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of class 1 for each row, rate of firing of each voter in (class 0, class 1), and the
-    weight that correlation leaves each voter. ``fires``: rows x voters of 0 and 1, the given labels
-    first; ``share``: the prior of class 1."""
+    at most one step for each beginning. ``sample``: toxic and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: Counter = Counter()
+            for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.update((s, k, t) for s, k in signs_of(text))
+            columns = list(zip(*((s, k, t, n) for (s, k, t), n in held.items()), strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["s", "k", "t", "n"])
+
+    each = sample.select("toxic", "text").mapInArrow(run, "s string, k int, t int, n long")
+    count = lambda t: F.sum(F.when(F.col("t") == t, F.col("n")).otherwise(0))
+    held = materialise(each.groupBy("s", "k").agg(count(1).alias("a"), count(0).alias("b")), "toxic-signs")
+    words = held.where("k = 0")
+    # beginnings count that several words of class 1 have
+    starts = F.explode(F.filter(F.array(*[F.when(F.length("s") > n, F.substring("s", 1, n)) for n in BEGINNINGS]), lambda x: x.isNotNull()))
+    variety = words.where("a > 0").select(starts.alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("words"))
+    trials = words.count() + 4 * variety.count()
+
+    def divergence(p: Column, q: Column) -> Column:
+        return p * F.log(p / q) + (1 - p) * F.log((1 - p) / (1 - q))
+
+    pooled = (F.col("a") + F.col("b") + 0.2) / (ones + zeros + 2)
+    gain = ones * divergence((F.col("a") + 0.1) / (ones + 1), pooled) + zeros * divergence((F.col("b") + 0.1) / (zeros + 1), pooled)
+    known = words.union(held.where("k > 0").join(variety.where(F.col("words") >= SUPPORT).select("s"), "s", "left_semi"))
+    known = known.where((F.col("a") + F.col("b") >= SUPPORT) & (F.col("a") * zeros > 3 * F.col("b") * ones)).withColumn("gain", gain)
+    # beyond what so many trials give by chance; the best step of a beginning
+    best = known.where(F.col("gain") > math.log(max(trials, 2))).groupBy("s", (F.col("k") > 0).alias("begins")).agg(F.max(F.struct("gain", "k")).alias("m"))
+    rows = best.select("s", "m.k", "m.gain").orderBy(F.desc("gain"), "s", "k").limit(SIGNS).collect()
+    discard(held)
+    return [(r["s"], r["k"]) for r in rows]
+
+
+@dataclass
+class LabelModel:
+    """The class's share, each voter's parent (-1: none), and rates of firing: [class, parent's vote, voter]."""
+
+    share: float
+    parent: np.ndarray
+    rates: np.ndarray
+
+    def joint(self, fires: np.ndarray) -> np.ndarray:
+        """Log of the probability of each row's votes together with class 0 and class 1."""
+        up = np.where(self.parent >= 0, fires[:, self.parent], 0).astype(int)
+        each = np.arange(fires.shape[1])
+        out = []
+        for c, prior in ((0, 1 - self.share), (1, self.share)):
+            r = self.rates[c][up, each]
+            out.append(math.log(prior) + np.log(np.where(fires > 0, r, 1 - r)).sum(axis=1))
+        return np.column_stack(out)
+
+    def posterior(self, fires: np.ndarray) -> np.ndarray:
+        """Probability of class 1 for each row."""
+        z = self.joint(fires)
+        return 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -40, 40)))
+
+
+def forest(fires: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """Parents of the voters: the heaviest spanning forest of mutual information given the class. Voter 0 stands alone."""
+    n, m = fires.shape
+    info = np.zeros((m, m))
+    for q in (post, 1 - post):
+        total = max(q.sum(), 1e-9)
+        on = q @ fires / total
+        both = (fires * q[:, None]).T @ fires / total
+        for x, px in ((1, on), (0, 1 - on)):
+            for y, py in ((1, on), (0, 1 - on)):
+                p = both if x and y else px[:, None] - both if x else py[None, :] - both if y else 1 - on[:, None] - on[None, :] + both
+                p = np.clip(p, 1e-12, None)
+                info += total / n * p * np.log(p / np.clip(np.outer(px, py), 1e-12, None))
+    parent, joined = np.full(m, -1), {1} if m > 1 else set()
+    best = {j: (info[1, j], 1) for j in range(2, m)}
+    while best:  # Prim's algorithm; an edge stays if it is worth its two parameters
+        j = max(best, key=lambda x: (best[x][0], -x))
+        gain, up = best.pop(j)
+        if gain > math.log(n) / n:
+            parent[j] = up
+        joined.add(j)
+        for k in best:
+            best[k] = max(best[k], (info[j, k], j))
+    return parent
+
+
+def label_model(fires: np.ndarray, clean: tuple[int, ...] = (), rounds: int = 100) -> LabelModel:
+    """Fit by expectation maximisation. ``fires``: rows x voters of 0 and 1, the given labels first, from which
+    it starts; ``clean``: voters for class 0."""
     n, m = fires.shape
-    weight = np.ones(m)
-    post = np.clip(fires[:, 0] * 0.9 + 0.05, 0, 1)  # the given labels, as a start
-    rates = np.zeros((2, m))
+    post = np.clip(fires[:, 0] * 0.9 + 0.05, 0, 1)
+    sign = np.array([-1 if j in clean else 1 for j in range(m)])
+    parent = np.full(m, -1)
     for turn in range(rounds):
-        p1, p0 = post.sum(), n - post.sum()
-        rates[1] = (post @ fires + 0.5) / (p1 + 1)
-        rates[0] = ((1 - post) @ fires + 0.5) / (p0 + 1)
-        # the given label is trusted to be mostly right, or the classes could turn into others
-        rates[1, 0], rates[0, 0] = min(max(rates[1, 0], 0.97), 0.999), min(max(rates[0, 0], 0.0005), 0.02)
-        if turn % 10 == 5:  # correlations given the class, averaged over the classes
-            excess = np.zeros((m, m))
-            for r, q in ((rates[1], post), (rates[0], 1 - post)):
-                d = fires - r
-                cov = (d * q[:, None]).T @ d / max(q.sum(), 1)
-                sd = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
-                excess += 0.5 * np.abs(cov / sd[:, None] / sd)
-            np.fill_diagonal(excess, 0)
-            excess[0], excess[:, 0] = 0, 0  # the given label stands alone
-            weight = 1 / (1 + np.where(excess > 0.1, excess, 0).sum(axis=1))
-        on, off = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-        # the given label says yes or no; the other voters that don't fire abstain, which says nothing
-        z = math.log(share / (1 - share)) + fires @ (on * weight) + (1 - fires[:, 0]) * off[0] * weight[0]
-        post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return post, rates, weight
-
-
-def fit(rows: list[tuple[int, tuple[str, ...], list[bool]]], share: float) -> Model:
-    """The model from labelled rows (label, distinct words, patterns); ``share``: of class 1 among all."""
+        if turn % 10 == 5:
+            parent = forest(fires, post)
+        up = np.where(parent >= 0, fires[:, parent], 0)
+        rates = np.empty((2, 2, m))
+        weight = np.empty((2, 2, m))
+        for c, q in ((0, 1 - post), (1, post)):
+            for v in (0, 1):
+                here = q[:, None] * (up == v)
+                weight[c, v] = here.sum(axis=0) + 1
+                rates[c, v] = ((here * fires).sum(axis=0) + 0.5) / weight[c, v]
+        pooled = (rates * weight).sum(axis=0) / weight.sum(axis=0)
+        rates = np.where((rates[1] - rates[0]) * sign < 0, pooled, rates)  # no better than chance: says nothing
+        model = LabelModel(float(np.clip(post.mean(), 0.01, 0.99)), parent, np.clip(rates, 1e-4, 1 - 1e-4))
+        after = model.posterior(fires)
+        if turn > 20 and np.abs(after - post).max() < 1e-4:
+            break
+        post = after
+    return model
+
+
+@dataclass(frozen=True)
+class Signs:
+    """What is looked for in the sampled rows: the voters' signs, and the classifier's words and beginnings."""
+
+    found: tuple[tuple[str, int], ...]
+
+    def groups(self) -> list[frozenset[tuple[str, int]]]:
+        """Mined voters: signs of like information together."""
+        own = [s for s in self.found if s[0] not in LEXICON]
+        out = []
+        for kind, many in zip(([s for s in own if s[1] == 0], [s for s in own if s[1]]), GROUPS, strict=True):
+            size = max(1, -(-len(kind) // many))
+            out += [frozenset(kind[i : i + size]) for i in range(0, len(kind), size)]
+        return out
+
+    def words(self) -> list[str]:
+        return sorted(LEXICON | {s for s, k in self.found if k == 0})
+
+    def begins(self) -> list[str]:
+        return list(dict.fromkeys(s for s, k in self.found if k))[:BEGINS]
+
+    def features(self) -> list[tuple[str, str]]:
+        """(word, "") and (beginning, step) by the number of the feature."""
+        return [(w, "") for w in self.words()] + [(b, s) for b in self.begins() for s in level(100, 100)]
+
+    def looker(self):
+        """A function of the text: which voters fire, and the numbers of its features."""
+        number = {x: i for i, x in enumerate(self.features())}
+        begins, groups = set(self.begins()), self.groups()
+
+        def look(text: str | None) -> tuple[list[bool], list[int]]:
+            signs = set(signs_of(text))
+            words = {s for s, k in signs if k == 0}
+            votes = [*patterns(text), *(not words.isdisjoint(x) for x in LEXICONS), *(not signs.isdisjoint(g) for g in groups)]
+            begin = Counter(b for w in words for n in BEGINNINGS if len(w) > n and (b := w[:n]) in begins)
+            got = [number[w, ""] for w in words if (w, "") in number] + [number[b, s] for b, n in begin.items() for s in level(n, len(words))]
+            return [*votes, not any(votes)], sorted(got)
+
+        return look
+
+
+def fit(signs: Signs, rows: list[tuple[int, list[bool], list[int]]], share: float, posterior: bool = True) -> Model:
+    """The classifier from labelled rows (label, votes, features); ``share``: of class 1 among all. ``posterior``:
+    whether it is trained on the label model's posterior, or on the given labels themselves."""
     y = np.array([t for t, _, _ in rows], float)
     if not len(y) or not 0 < y.sum() < len(y):
         return Model()
-    docs = [w for _, w, _ in rows]
-    found = mined(docs, y)
-    lexicon = sorted({w for words in docs for w in words if w in LEXICON})
-    voters = [(w, 0) for w in lexicon] + [v for v in found if v[0] not in LEXICON][:VOTERS]
-
-    # features of the classifier: every mined sign, the words of the lexicon, and the steps of beginnings
-    words = sorted(LEXICON | {s for s, k in found if k == 0})[:FEATURES]
-    begins = list(dict.fromkeys(s for s, k in found if k))[: FEATURES // 10]
-    names = [("w", w, "") for w in words] + [("b", b, s) for b in begins for s in ("n1", "n2", "n3", "n5", "n8", "s1", "s2", "s4", "s8")]
-    number = {x: i for i, x in enumerate(names)}
-    chosen = set(begins)
-    votes, row, col = [], [], []
-    for i, (t, own, p) in enumerate(rows):
-        here, begin = set(own), beginnings(own, chosen)
-        votes.append([t, *p, *(s in here if k == 0 else begin.get(s, 0) >= k for s, k in voters)])
-        got = [number[x] for w in own if (x := ("w", w, "")) in number]
-        got += [number["b", b, s] for b, n in begin.items() for s in level(n, len(own))]
-        row += [i] * len(got)
-        col += got
-    fires = np.array(votes, float)
-    anything = fires[:, 1:].any(axis=1)
-    fires = np.column_stack([fires, ~anything])  # the voter for clean texts: no other fires
-    post, _, _ = label_model(fires, min(max(float(y.mean()), 0.02), 0.98))
-
-    # the sample holds the classes in other shares than the table
+    fires = np.array([[t, *votes] for t, votes, _ in rows], float)
+    target = label_model(fires, (fires.shape[1] - 1,)).posterior(fires) if posterior else y
+    # the sample holds the given labels in other shares than the table
     odds = share / (1 - share) * (1 - y.mean()) / y.mean()
-    weights, bias = logistic(np.array(row, int), np.array(col, int), len(rows), len(names), post, np.where(y > 0, odds, 1.0))
+    names = signs.features()
+    row = np.repeat(np.arange(len(rows)), [len(f) for _, _, f in rows])
+    col = np.concatenate([np.array(f, int) for _, _, f in rows])
+    weights, bias = logistic(row, col, len(rows), len(names), target, np.where(y > 0, odds, 1.0))
     model = Model(float(min(bias, -1.0)), {}, {})
-    for (kind, s, step), w in zip(names, weights.tolist(), strict=True):
-        if kind == "w":
+    for (s, step), w in zip(names, weights.tolist(), strict=True):
+        if not step:
             # words of the lexicon that the sample lacks keep a part of the lexicon's weight
             model.words[s] = w if w else (2.5 if s in LEXICON else 0.0)
         elif w:
@@ -245,8 +322,8 @@ def logistic(row: np.ndarray, col: np.ndarray, n: int, m: int, target: np.ndarra
     return w, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fit on labelled rows of the training folds; what reaches the driver is bounded by ``per_class``."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, posterior: bool = True) -> Model:
+    """Fit on labelled rows of the training folds; what reaches the driver is bounded by ``per_class`` and ``SIGNS``."""
     ship(docs.sparkSession)
     given = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     given = given.where(~held_out(F.col("doc_id")))
@@ -258,21 +335,23 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     zero = given.where("toxic = 0").select("doc_id", "toxic").distinct().orderBy(*order).limit(per_class)
     chosen = one.union(zero).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # 2 * per_class rows of two numbers
+    sample = texts.join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows of two numbers
+    # a doc_id that the table repeats counts once; the order of tasks plays no part
+    sample = materialise(sample.groupBy("doc_id").agg(F.min(F.struct("toxic", "text")).alias("m")).select("doc_id", "m.toxic", "m.text"), "toxic-sample")
+    ones, zeros = (sample.where(F.col("toxic") == t).count() for t in (1, 0))
+    signs = Signs(tuple(mined(sample, ones, zeros)) if ones and zeros else ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = signs.looker()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            words = [sorted(set(WORD.findall((x or "").lower()))) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), pa.array([patterns(x) for x in texts], pa.list_(pa.bool_()))], names=["doc_id", "toxic", "words", "patterns"])
-
-    got = sample.mapInArrow(run, "doc_id long, toxic int, words array<string>, patterns array<boolean>")
-    best = {}  # a doc_id that the table repeats counts once; the order of tasks plays no part
-    for r in got.toLocalIterator():
-        key, value = r["doc_id"], (r["toxic"], tuple(map(sys.intern, r["words"])), list(r["patterns"]))
-        if key not in best or value < best[key]:
-            best[key] = value
-    return fit([best[k] for k in sorted(best)], sizes[1] / (sizes[0] + sizes[1]))
+            seen = [look(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v for v, _ in seen], pa.list_(pa.bool_())), pa.array([f for _, f in seen], pa.list_(pa.int32()))], names=["doc_id", "toxic", "votes", "features"])
+        release()
+
+    got = sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, votes array<boolean>, features array<int>")
+    rows = sorted((r["doc_id"], r["toxic"], list(r["votes"]), list(r["features"])) for r in got.toLocalIterator())
+    discard(sample)
+    return fit(signs, [r[1:] for r in rows], sizes[1] / (sizes[0] + sizes[1]), posterior)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -12,7 +12,8 @@ where none fits, a block pattern that matches decides ``block``, else ``allow``.
 Null URLs, and those without ``://``, have an empty host and path, fit no site
 rule and meet block patterns with the empty string. Repeated rows are judged each
 by itself, ties in length cannot both fit unless they are the same rule (the
-first given wins). Extra columns are ignored.
+first given wins). URLs of any length are judged whole. An empty table gives an empty one. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylvan.llm.mixing import literal
+
 #: Rules up to this number are looked up in a literal index inside the projection;
 #: more are joined as a table, which Spark broadcasts only below its own size threshold.
 INLINE_RULES = 200
@@ -113,62 +116,50 @@ def token_counts(site: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
     held = F.explode(F.array_intersect(F.col("__tokens"), F.array(*map(F.lit, wanted)))).alias("token") if len(wanted) <= 1000 else F.explode("__tokens").alias("token")
     rows = site.select(held).where(F.col("token").isin(wanted) if len(wanted) <= 1000 else F.lit(True)).groupBy("token").count()
     if len(wanted) > 1000:
-        names = site.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
+        names = literal(site.sparkSession, [(t,) for t in wanted], "token string")
         rows = rows.join(names, "token", "left_semi")
     return {r["token"]: r["count"] for r in rows.toLocalIterator()}
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + BLOCK_PATTERNS, inline: int = INLINE_RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and ``pattern`` (the block pattern that matched, or null)."""
+    """page_id, host, path, rule, verdict and ``pattern`` (the first block pattern given that matches, or null)."""
     host, path = split_url(F.col("__url"))
     site = pages.select(F.col("page_id"), F.col("url").cast("string").alias("__url")).select("page_id", host.alias("host"), path.alias("path"))
     site = site.withColumn("__site", F.concat("host", "path"))
     site = site.withColumn("__tokens", F.array_distinct(F.filter(F.split("__site", "[^0-9A-Za-z]+"), lambda t: t != "")))
     if not rules:
         return site.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(None).cast("string").alias("pattern"))
-    index = rarest(rules, token_counts(site, rules))
-    if len(rules) <= inline:
-        return _inline(site, rules, index)
-    return _joined(site, rules, index)
-
-
-def _verdict(site_rule_: Column, pattern: Column) -> list[Column]:
-    return [
-        site_rule_["text"].alias("rule"),
-        F.coalesce(site_rule_["verdict"], F.when(pattern.isNotNull(), "block").otherwise("allow")).alias("verdict"),
-        pattern.alias("pattern"),
-    ]
-
-
-def _inline(site: DataFrame, rules: tuple[Rule, ...], index: dict[str, list[Rule]]) -> DataFrame:
-    """Candidates by the tokens; then one regular expression per candidate, compiled once per task
-    because each is a literal behind a test of its candidacy."""
-    order = {r: i for i, r in reversed(list(enumerate(rules)))}
-    numbers = {t: sorted(order[r] for r in rs) for t, rs in index.items()}
-    lookup = F.create_map(*[x for t, ns in sorted(numbers.items()) for x in (F.lit(t), F.array(*[F.lit(n) for n in ns]))])
-    known = F.array(*[F.lit(t) for t in sorted(numbers)])
-    site = site.withColumn("__rules", F.flatten(F.transform(F.array_intersect("__tokens", known), lambda t: F.element_at(lookup, t))))
-
-    def fits(r: Rule) -> Column:
-        return F.array_contains("__rules", order[r]) & F.col("__site").rlike(r.regex)
-
-    none = F.lit(None).cast("struct<verdict:string,text:string>")
-    best, pattern = none, F.lit(None).cast("string")
-    for r in sorted((r for r in rules if r.site), key=lambda r: (len(r.text), -order[r])):
-        best = F.when(fits(r), F.struct(F.lit(r.verdict).alias("verdict"), F.lit(r.text).alias("text"))).otherwise(best)
-    for r in reversed([r for r in rules if not r.site]):
-        pattern = F.when(fits(r), r.text).otherwise(pattern)
-    out = site.select("page_id", "host", "path", best.alias("__best"), pattern.alias("__pattern"))
-    return out.select("page_id", "host", "path", *_verdict(F.col("__best"), F.col("__pattern")))
-
-
-def _joined(site: DataFrame, rules: tuple[Rule, ...], index: dict[str, list[Rule]]) -> DataFrame:
+    # one order for either way: site rules by length (the longest decides), then block patterns; as given among equals
+    ranked = tuple(sorted(dict.fromkeys(rules), key=lambda r: (not r.site, -len(r.text) if r.site else 0)))
+    index = rarest(ranked, token_counts(site, ranked))
+    number = {r: i for i, r in enumerate(ranked)}
+    keyed = {t: sorted(number[r] for r in rs) for t, rs in index.items()}
+    found = _inline(site, ranked, keyed) if len(ranked) <= inline else _joined(site, ranked, keyed)
+    sites = sum(r.site for r in ranked)
+    best, pattern = (F.array_min(F.filter("__fits", f)) for f in (lambda n: n < sites, lambda n: n >= sites))
+
+    def of(number_: Column, values: list[str]) -> Column:  # element_at takes the last for a null place
+        return F.when(number_.isNotNull(), F.element_at(F.array(*map(F.lit, values)), F.coalesce(number_, F.lit(0)) + 1))
+
+    texts, verdicts = [r.text for r in ranked], [r.verdict for r in ranked]
+    out = found.select("page_id", "host", "path", best.alias("__best"), pattern.alias("__pattern"))
+    return out.select("page_id", "host", "path", of(F.col("__best"), texts).alias("rule"), F.coalesce(of(F.col("__best"), verdicts), F.when(F.col("__pattern").isNotNull(), "block").otherwise("allow")).alias("verdict"), of(F.col("__pattern"), texts).alias("pattern"))
+
+
+def _inline(site: DataFrame, rules: tuple[Rule, ...], keyed: dict[str, list[int]]) -> DataFrame:
+    """``__fits``, the numbers of the rules that fit: the URL's tokens that the index has (a hashed set of literals)
+    fetch candidates, and only these run their expressions."""
+    lookup = F.create_map(*[x for t, ns in sorted(keyed.items()) for x in (F.lit(t), F.array(*[F.lit(n) for n in ns]))])
+    known = sorted(keyed)
+    regexes = F.array(*[F.lit(r.regex) for r in rules])
+    candidates = F.flatten(F.transform(F.filter("__tokens", lambda t: t.isin(known)), lambda t: F.element_at(lookup, t)))
+    return site.withColumn("__fits", F.filter(candidates, lambda n: F.rlike(F.col("__site"), F.element_at(regexes, n + 1))))
+
+
+def _joined(site: DataFrame, rules: tuple[Rule, ...], keyed: dict[str, list[int]]) -> DataFrame:
     """The same for long rule lists: distinct sites meet the index on the token."""
-    order = {r: i for i, r in reversed(list(enumerate(rules)))}
-    rows = [(t, order[r], r.verdict, r.text, r.regex, r.site) for t, rs in sorted(index.items()) for r in rs]
-    table = site.sparkSession.createDataFrame(rows, "token string, __n int, __verdict string, __text string, __regex string, __is_site boolean")
+    rows = [(t, n, rules[n].regex) for t, ns in sorted(keyed.items()) for n in ns]
+    table = literal(site.sparkSession, rows, "token string, __n int, __regex string")
     distinct = site.select("__site", "__tokens").distinct()
     met = distinct.select("__site", F.explode("__tokens").alias("token")).join(table, "token").where(F.expr("__site rlike __regex"))
-    rank = F.struct(F.length("__text").alias("n"), (-F.col("__n")).alias("i"), F.col("__verdict").alias("verdict"), F.col("__text").alias("text"))
-    found = met.groupBy("__site").agg(F.max(F.when(F.col("__is_site"), rank)).alias("__best"), F.min(F.when(~F.col("__is_site"), F.struct("__n", "__text")))["__text"].alias("__pattern"))
-    return site.join(found, "__site", "left").select("page_id", "host", "path", *_verdict(F.col("__best"), F.col("__pattern")))
+    return site.join(met.groupBy("__site").agg(F.collect_set("__n").alias("__fits")), "__site", "left")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from sylvan.llm import html_extract as H
@@ -21,26 +23,93 @@ def test_marked_pages():
         assert H.extract(PAGE.replace("{n}", str(n))) == TEXT.replace("{n}", str(n))
 
 
-def test_wrapper_finds_the_slots_of_plain_containers():
-    w = H.induce([soup(i) for i in range(4)])
-    text = H.extract(soup(9), w)
-    assert text == f"A title number 9 of all\n\n{('The first paragraph of story 9 is rather long. ' * 3).strip()}\n\n{('The second one of 9 is long, too. ' * 4).strip()}"
-    assert "Welcome" in H.extract(soup(9))  # alone, the page's own tree decides
+def extracted(spark, pages, **options):
+    rows = [(i, f"http://a.org/{i}", x) for i, x in enumerate(pages)]
+    got = H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), **options).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def story(i):
+    return f"A title number {i} of all\n\n{(f'The first paragraph of story {i} is rather long. ' * 3).strip()}\n\n{(f'The second one of {i} is long, too. ' * 4).strip()}"
+
+
+def test_the_wrapper_decides_on_plain_containers(spark):
+    pages = [soup(i) for i in range(8)]
+    assert extracted(spark, pages) == [story(i) for i in range(8)]
+    assert all("Welcome" in H.extract(p) and "rights" in H.extract(p) for p in pages)  # alone, the page's own tree decides
+
+
+def test_the_wrapper_decides_without_any_name(spark):
+    # hand-labelled pages of one template: menu and advert come from small pools, no name or element tells them apart
+    menus = ["<span>Home</span> <span>News</span>", "<span>Start</span> <span>About</span>"]
+    page = "<div><div>{menu}</div><div>{ad}</div><div><div>{title}</div>{body}</div><div>All rights reserved</div></div>"
+    pages, want = [], []
+    for i in range(12):
+        texts = [f"Paragraph {k} of page {i} says what no other says, at some length." for k in range(1 + i % 3)]
+        pages.append(page.format(menu=menus[i % 2], ad=f"Buy offer {i % 3} now", title=f"On the matter of {i}", body="".join(f"<p>{t}</p>" for t in texts)))
+        want.append("\n\n".join([f"On the matter of {i}", *texts]))
+    assert extracted(spark, pages, names=False) == want == extracted(spark, pages)
+    assert all(H.extract(p) != w for p, w in zip(pages, want, strict=True))
+
+
+def test_an_article_is_never_cut_by_copies(spark):
+    pages = [PAGE.replace("{n}", "7")] * 5 + [PAGE.replace("{n}", "7").replace("Home", "House"), PAGE.replace("{n}", "8")]
+    assert extracted(spark, pages) == [TEXT.replace("{n}", "7")] * 6 + [TEXT.replace("{n}", "8")]
+
+
+def test_a_container_in_an_article_that_never_varies_is_template(spark):
+    pages = [f"<article><h1>Story {i}</h1><p>What happened on day {i}.</p><p>As ever.</p><div><p>Tell your friends</p><div>about us</div></div></article>" for i in range(6)]
+    got = extracted(spark, pages)
+    assert all(t.startswith(f"Story {i}\n\nWhat happened on day {i}.\n\nAs ever.") and "about us" not in t for i, t in enumerate(got))
+
+
+def test_several_articles_of_a_wrapper_all_stay(spark):
+    pages = [f"<div><div class=a><article><p>The first half of number {i}.</article></div><div class=b><article><p>And the other half of {i}.</article></div></div><div>Same</div>" for i in range(5)]
+    assert extracted(spark, pages) == [f"The first half of number {i}.\n\nAnd the other half of {i}." for i in range(5)]
+
+
+def brute_match(a, b, x=0, y=0):
+    """Simple tree matching by its definition, without short cuts: the number of nodes matched."""
+    if a.keys[x] != b.keys[y]:
+        return 0
+    xs, ys = a.below[x], b.below[y]
+    m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, c in enumerate(xs, 1):
+        for j, d in enumerate(ys, 1):
+            m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + brute_match(a, b, c, d))
+    return m[-1][-1] + 1
+
 
+def test_simple_tree_matching_against_its_definition():
+    rng = random.Random(3)
 
-def test_an_article_is_never_cut_by_copies():
-    pages = [PAGE.replace("{n}", "7")] * 5 + [PAGE.replace("{n}", "7").replace("Home", "House")]
-    w = H.induce(pages)
-    assert H.extract(pages[0], w) == TEXT.replace("{n}", "7")
+    def some():
+        depth, out = 0, ["0 html."]
+        for _ in range(rng.randint(0, 12)):
+            depth = rng.randint(1, depth + 1)
+            out.append(f"{depth} {rng.choice('ab')}.")
+        return "\n".join(out)
 
+    for _ in range(300):
+        s, t, shapes = some(), some(), {}
+        a, b = H.tree(s, shapes), H.tree(t, shapes)
+        to = H.match(a, b)
+        pairs = [(x, y) for x, y in enumerate(to) if y >= 0]
+        assert len(pairs) == brute_match(a, b) and len({y for _, y in pairs}) == len(pairs)
+        assert all(a.keys[x] == b.keys[y] for x, y in pairs) and [y for _, y in pairs] == sorted(y for _, y in pairs)
+        both = H.tree(H.merge(t, s), shapes)
+        assert len(both.keys) == len(b.keys) + to.count(-1)
+        assert H.match(b, both).count(-1) == 0 and H.merge(H.merge(t, s), t) == H.merge(t, s)
 
-def test_simple_tree_matching_maps_in_order():
-    def tree(s):
-        return H.fold([c for c in H.parse(s).children()])
 
-    n, pairs = H.match(tree("<div><p>a</p><ul><li>x</ul><p>b</div><table></table>"), tree("<div><p>c</p><p>d</p></div><h1></h1><table></table>"))
-    assert n == 3 and len(pairs) == 3
-    assert H.match([], tree("<p>"))[0] == 0
+def test_any_depth():
+    for n in (160, 50_000):
+        page = "<article>" + "<div>" * n + "<nav>menu</nav>text" + "</div>" * n + "</article>"
+        assert H.extract(page) == "text"
+    deep = H.fold(H.parse("<div>" * 20_000 + "a<p>b")).skeleton()
+    other = H.fold(H.parse("<div>" * 20_000 + "<ul><li>a</ul>")).skeleton()
+    assert H.merge(deep, other).count("\n") == deep.count("\n") + 2
+    assert H.extract("<p><b>" * 100_000 + "x") == "x"
 
 
 @pytest.mark.parametrize("page, text", [

@@ -27,8 +27,8 @@ def tik():
     return tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-TREES = {n: bpe.TreeBpe(*bpe.default_ranks(), leaf=n) for n in (1, 7, 8192)}
-COUNTERS = [token_count.TokenCounter(*token_count.default_file()), token_count.TokenCounter(*token_count.default_file(), huge=20, chunk=16, overlap=2), token_count.TokenCounter(*token_count.default_file(), huge=5, chunk=5, overlap=1)]
+TREES = {n: bpe.TreeBpe(*bpe.default_ranks(), leaf=n) for n in (1, 7, 512, 8192)}
+COUNTERS = [token_count.TokenCounter(*token_count.default_file()), token_count.TokenCounter(*token_count.default_file(), chunk=16, overlap=2), token_count.TokenCounter(*token_count.default_file(), chunk=5, overlap=1)]
 
 
 @settings(max_examples=300, deadline=None)
