@@ -4,13 +4,17 @@ Texts and templates are compared as words (letters and digits, lower case). A te
 is found where a stretch of at most ``len(template) + slack`` words holds at least
 ``need`` of its words in order. Stretches are first bounded: no order of its words can
 give a stretch more than the words it shares with the template (counted with their
-repetitions), so only stretches that share enough, and more than the best one so far
-aligned, are aligned. Alignment anchors on words that are unique in both, keeps the longest
+repetitions), and none more than their longest common subsequence, whose length is counted in the bits of a number;
+so only stretches that may give enough, and more than the best one so far aligned, are aligned. Alignment anchors on words that are unique in both, keeps the longest
 increasing subsequence of the anchors, and aligns the gaps between them recursively;
 a gap without unique words is closed by the longest common subsequence. Coverage is
 the share of the template's words that are aligned.
 
-Null and empty texts, and texts without any template, have a null license. Every row is
+An anchor may tie a word to the wrong one of two places, so an alignment can fall short of the longest
+common subsequence: a stretch whose words reach the need only barely may be missed. That is the method's price.
+
+Null and empty texts, and texts without any template, have a null license. Texts of any length are scanned whole. An
+empty table gives an empty one; other columns play no part. Every row, also a repeated one, is
 judged by itself; of templates that are found, the one with the most aligned words is
 reported (ties: greater coverage, then name), and all are listed.
 """
@@ -23,6 +27,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,6 +111,14 @@ class Template:
     def need(self) -> int:
         return len(self.words) if len(self.words) <= SHORT else math.ceil(COVERAGE * len(self.words))
 
+    @cached_property
+    def places(self) -> dict[str, int]:
+        """For each word the bits of its positions."""
+        out: dict[str, int] = {}
+        for i, w in enumerate(self.words):
+            out[w] = out.get(w, 0) | 1 << i
+        return out
+
     @property
     def stretch(self) -> int:
         return len(self.words) + max(1, len(self.words) // 4)
@@ -148,6 +161,16 @@ def stretches(words: list[str], t: Template) -> Iterator[tuple[int, int]]:
             yield max(0, end - size), shared
 
 
+def common_length(t: Template, words: list[str]) -> int:
+    """Length of the longest common subsequence with the template: a row of the table is the bits of a number."""
+    row = whole = (1 << len(t.words)) - 1
+    for w in words:
+        if mask := t.places.get(w):
+            met = row & mask
+            row = (row + met | row - met) & whole
+    return len(t.words) - row.bit_count()
+
+
 def find(words: list[str], templates: tuple[Template, ...]) -> list[Hit]:
     """The best hit of each template that is found."""
     present = set(words)
@@ -155,12 +178,19 @@ def find(words: list[str], templates: tuple[Template, ...]) -> list[Hit]:
     for t in templates:
         if sum(w in present for w in t.words) < t.need:
             continue
-        best = None
+        best, next_ = None, 0
         for at, shared in stretches(words, t):
-            if best and shared <= best.matched:
+            wanted = best.matched + 1 if best else t.need
+            if at < next_ or shared < wanted:
+                continue
+            stretch = words[at : at + t.stretch]
+            # no alignment is longer than the longest common subsequence, which a step can lengthen by one word only
+            if (longest := common_length(t, stretch)) < wanted:
+                next_ = at + wanted - longest
                 continue
-            pairs = patience(list(t.words), words[at : at + t.stretch], 0, at)
-            if len(pairs) >= t.need and (best is None or len(pairs) > best.matched):
+            next_ = at + 1
+            pairs = patience(list(t.words), stretch, 0, at)
+            if len(pairs) >= wanted:
                 best = Hit(t.name, len(pairs), len(pairs) / len(t.words), pairs[0][1], pairs[-1][1])
         if best:
             out.append(best)

@@ -1,4 +1,5 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,9 +36,10 @@ def test_planted_texts_are_found_and_clean_ones_left_alone():
     rng = random.Random(4)
     filler = ["".join(rng.choices("abcdeflmnoprstu", k=6)) for _ in range(500)] + ["the", "of", "license", "under", "software", "is"]
     for name, text in L.LICENSES.items():
-        words = text.split()
-        if len(words) > 30:  # one word in ten is replaced
-            words = [rng.choice(filler) if rng.random() < 0.1 else w for w in words]
+        words = L.WORD.findall(text)
+        if len(words) > 30:  # exactly one word in ten is replaced, as the scanner counts words
+            for i in rng.sample(range(len(words)), len(words) // 10):
+                words[i] = rng.choice(filler)
         noise = [rng.choice(filler) for _ in range(300)]
         got = L.scan_text(" ".join([*noise, *words, *noise, *words]))
         assert name in got[5], name
@@ -48,13 +50,33 @@ def test_planted_texts_are_found_and_clean_ones_left_alone():
 def test_against_brute_force_on_all_stretches():
     rng = random.Random(9)
     t = L.template("t", "a b c d e f g a b h i j k l m n o p")
-    for _ in range(200):
+    found = short = 0
+    for _ in range(300):
         words = [rng.choice("abcdefghijklmnopq") if rng.random() < 0.35 else t.words[i % len(t.words)] for i in range(50)]
         hits = L.find(words, (t,))
-        if hits:
-            assert brute_common(list(t.words), words[hits[0].first : hits[0].last + 1]) >= hits[0].matched >= t.need
+        every = [words[at : at + t.stretch] for at in range(len(words) - t.stretch + 1)]
+        want = max(len(L.patience(list(t.words), x)) for x in every)
+        assert [h.matched for h in hits] == ([want] if want >= t.need else [])
+        longest = max(brute_common(list(t.words), x) for x in every)
+        found, short = found + (longest >= t.need), short + (longest >= t.need > want)
         whole = words[5:20] + list(t.words) + words[20:]
         assert L.find(whole, (t,))[0].matched == len(t.words)
+    assert found > 50 and short <= 0.05 * found  # the method's price
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(word, min_size=1, max_size=14), st.lists(word, max_size=20))
+def test_common_length(a, b):
+    assert L.common_length(L.Template("t", tuple(a)), b) == brute_common(a, b)
+
+
+def test_shuffled_templates_take_no_long_time():
+    rng = random.Random(2)
+    words = [w for t in L.TEMPLATES for w in t.words] * 6
+    rng.shuffle(words)
+    began = time.process_time()
+    L.find(words, L.TEMPLATES)
+    assert time.process_time() - began < 20
 
 
 def test_rows(spark):
