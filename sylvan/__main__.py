@@ -50,6 +50,10 @@ def run(argv: list[str], spark: SparkSession | None = None) -> str:
         if not a.paths:
             return out
     engine = Engine.of(spark or SparkSession.builder.appName("sylvan").getOrCreate(), a.paths, a.lang, a.no_ignore)
+    for path in (lost := engine.unreadable()):
+        print(f"failed to read {path}", file=sys.stderr)
+    if lost and a.command == "tree":
+        raise OSError(f"{len(lost)} of the files can't be read")
     if a.command == "search":
         return out + engine.search_text(a.query, a.body, a.compat)
     if a.command == "tree":

@@ -46,7 +46,12 @@ class Engine:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return materialise(sources.nodes(self.files), "nodes")
+        # a search reads one language and few kinds: sorted so, the table's row groups tell where they are
+        return materialise(sources.nodes(self.files).sortWithinPartitions("lang", "kind"), "nodes")
+
+    def unreadable(self) -> list[str]:
+        """Paths of the files that could not be read (of a command line's files)."""
+        return sorted(r["path"] for r in self.files.where("source is null").select("path").collect())
 
     @cached_property
     def relations(self) -> DataFrame:

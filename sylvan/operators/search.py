@@ -1,14 +1,14 @@
 """Structural search: patterns over the table of nodes, as joins.
 
 Every relation of a pattern is a join on the file first: child and parent on the parent's
-number, siblings on the common parent, ``inside`` on the preorder interval of a node (an
-equality on the file keeps it a hash or sort-merge join with a residual condition). A
+number, siblings on the common parent, ``inside`` on the preorder interval of a node. Preorder numbers
+fall in ranges of ``RANGE``: an interval has a row for each range that it touches, a node lies in one, and
+both meet on (file, range), so a large file is dealt to many tasks and few pairs are tried in vain. A
 relation whose other side reports nothing is a semi join.
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +19,11 @@ from sylvan.functions.languages import LANGUAGES, canonical
 from sylvan.plans.pattern import Link, Pattern, Planner, Scoped, describe
 from sylvan.plans.query import Name, parse
 
+UNSHOWN = r"[\p{C}\p{Z}\p{Mn}\p{Me}&&[^ ]]"
 CAPTURE = "array<struct<name:string,node_id:int,start_pos:int,end_pos:int,start_line:int,end_line:int,text:string,first_line:string>>"
 KEPT = ("path", "node_id", "last_desc", "parent_id", "field", "named_idx", "root", "caps")
+#: Preorder numbers of a range, as a power of two.
+RANGE = 8
 ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\0", "\\0"))
 
 
@@ -76,7 +79,21 @@ class Search:
         elif link.how == "parent":
             on &= F.col("o_node_id") == F.col("parent_id")
         elif link.how == "inside":
-            on &= (F.col("o_node_id") > F.col("node_id")) & (F.col("o_node_id") <= F.col("last_desc"))
+            on &= (F.col("o_node_id") > F.col("node_id")) & (F.col("o_node_id") <= F.col("last_desc")) & (F.col("o_range") == F.col("range"))
+            if link.field is not None:
+                on &= F.col("o_field") == link.field
+            other = other.withColumn("o_range", F.shiftright("o_node_id", RANGE))
+            if capturing:
+                met = spread(df, F.col("node_id") + 1, F.col("last_desc")).join(other, on)
+                return met.select(*[c for c in KEPT if c != "caps"], F.concat("caps", "o_caps").alias("caps"))
+            held = spread(df.select("path", "node_id", "last_desc"), F.col("node_id") + 1, F.col("last_desc"))
+            held = held.join(other.select("o_path", "o_node_id", "o_field", "o_range"), on, "left_semi").select("path", "node_id").distinct()
+            return df.join(held, ["path", "node_id"], "left_semi")
+        elif link.how == "later" and not capturing:
+            if link.field is not None:
+                other = other.where(F.col("o_field") == link.field)
+            last = other.groupBy("o_path", "o_parent_id").agg(F.max("o_named_idx").alias("o_last"))
+            return df.join(last, on & (F.col("o_parent_id") == F.col("parent_id")) & (F.col("o_last") > F.col("named_idx")), "left_semi")
         else:
             on &= F.col("o_parent_id") == F.col("parent_id")
             on &= F.col("o_named_idx") == F.col("named_idx") + 1 if link.how == "next" else F.col("o_named_idx") > F.col("named_idx")
@@ -94,8 +111,9 @@ class Search:
         first = field.groupBy("f_path", "f_parent").agg(F.min(F.struct("f_idx", "node_id", "last_desc")).alias("f")).select("f_path", "f_parent", F.col("f.node_id").alias("f_node"), F.col("f.last_desc").alias("f_last"))
         outer = outer.join(first, (F.col("path") == F.col("f_path")) & (F.col("node_id") == F.col("f_parent")), "left")
         outer = outer.select("path", F.col("node_id").alias("outer_id"), F.coalesce("f_node", "node_id").alias("low"), F.coalesce("f_last", "last_desc").alias("high"), F.col("caps").alias("outer_caps"))
-        inner = self.any_of(plan.inner).select(F.col("path").alias("i_path"), F.col("node_id").alias("i_node"), "root", F.col("caps").alias("inner_caps"))
-        on = (F.col("path") == F.col("i_path")) & (F.col("i_node") >= F.col("low")) & (F.col("i_node") <= F.col("high"))
+        outer = spread(outer, F.col("low"), F.col("high"))
+        inner = self.any_of(plan.inner).select(F.col("path").alias("i_path"), F.col("node_id").alias("i_node"), F.shiftright("node_id", RANGE).alias("i_range"), "root", F.col("caps").alias("inner_caps"))
+        on = (F.col("path") == F.col("i_path")) & (F.col("range") == F.col("i_range")) & (F.col("i_node") >= F.col("low")) & (F.col("i_node") <= F.col("high"))
         met = outer.join(inner, on)
         return met.select("path", F.col("outer_id").alias("node_id"), F.col("i_node").alias("inner_id"), "root", F.concat("outer_caps", "inner_caps").alias("caps"))
 
@@ -108,10 +126,19 @@ class Search:
         return self.any_of(plan).select("path", "node_id", F.lit(-1).alias("inner_id"), "root", "caps")
 
 
+def spread(df: DataFrame, low: Column, high: Column) -> DataFrame:
+    """The rows of an interval of preorder numbers that isn't empty, once for each ``range`` that it touches."""
+    return df.where(low <= high).withColumn("range", F.explode(F.sequence(F.shiftright(low, RANGE), F.shiftright(high, RANGE))))
+
+
 def quoted(text: Column) -> Column:
-    """The text in double quotes, as a literal with escapes."""
+    """The text in double quotes, as a literal with escapes: what no font shows, or joins to the letter before, as its
+    code point."""
     for a, b in ESCAPES:
         text = F.replace(text, F.lit(a), F.lit(b))
+    point = lambda c: F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(c))), F.lit("}"))
+    shown = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(UNSHOWN), point(c)).otherwise(c))
+    text = F.when(text.rlike(UNSHOWN), F.array_join(shown, "")).otherwise(text)
     return F.concat(F.lit('"'), text, F.lit('"'))
 
 
@@ -151,12 +178,17 @@ def search(nodes: DataFrame, query: str, files: DataFrame | None = None, langs:
     Matches that a file's lines would show alike are one, in the order of the first. ``ord`` numbers
     a file's matches from 0. Regular expressions are Java's."""
     tree = parse(query)
-    for name in re.findall(r"/([^/]*)/", query):
-        re.compile(name)  # a pattern that can't be right fails here and not in an executor
+    jvm = nodes.sparkSession._jvm  # noqa: SLF001
     found = []
     for lang in map(canonical, langs):
         mine = Search(nodes.where(F.col("lang") == lang), files)
-        matches = mine.run(Planner(lang, compat).plan(tree))
+        plan = Planner(lang, compat).plan(tree)
+        for expression in expressions(plan):
+            try:  # one that can't be right fails here and not in an executor
+                jvm.java.util.regex.Pattern.compile(expression)
+            except Exception as e:
+                raise ValueError(f"not a regular expression: /{expression}/") from e
+        matches = mine.run(plan)
         if matches is not None:
             found.append(rendered(matches, files, body).withColumn("lang", F.lit(lang)))
     if not found:
@@ -167,6 +199,18 @@ def search(nodes: DataFrame, query: str, files: DataFrame | None = None, langs:
     return first.select("path", "lang", ord_.alias("ord"), F.col("m.captures").alias("captures"), "rendered")
 
 
+def expressions(plan: Scoped | tuple[Pattern, ...]) -> list[str]:
+    """The regular expressions of a plan."""
+    patterns = [*plan.outer, *plan.inner] if isinstance(plan, Scoped) else list(plan)
+    out = []
+    while patterns:
+        p = patterns.pop()
+        if p.text is not None and p.text.regex:
+            out.append(p.text.text)
+        patterns += [t for link in p.links for t in link.targets]
+    return out
+
+
 def explain(query: str, langs: tuple[str, ...] = LANGUAGES, compat: bool = False) -> str:
     """The plan of a query for each language."""
     tree = parse(query)

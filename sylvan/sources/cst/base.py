@@ -11,8 +11,8 @@ import re
 from sylvan.sources.cst.tree import Node
 
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
-#: Nesting beyond which brackets are read without structure.
-DEEP = 120
+#: Nesting beyond which brackets are one ERROR node without structure.
+DEEP = 10_000
 
 
 class Token:
@@ -162,7 +162,9 @@ class Parser:
         while not self.end() and not self.at(stop):
             before = self.i
             if self.depth > DEEP and self.t.text in OPEN and self.t.type == "op":
+                start = self.t.start
                 self.skip_brackets()
+                out.append(self.node("ERROR", start, []))
             elif self.t.type == "op" and self.t.text in CLOSE and self.t.text != stop:
                 # a bracket that closes something outside: leave it to its owner
                 if self.outer_closes(self.t.text):

@@ -1,11 +1,13 @@
 """The engine on small corpora: one graph for all cases, whose names don't meet."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from sylvan.__main__ import arguments, run
 from sylvan.engine import Engine
 from sylvan.functions import render
 from sylvan.functions.languages import detect
+from sylvan.operators.search import quoted
 
 GO = {
     "m/a/one.go": "package a\nimport (\n\t\"fmt\"\n\t\"x.y/m/b\"\n\tal \"x.y/m/c\"\n\t. \"x.y/m/d\"\n\t\"x.y/q/util\"\n)\nfunc sameFile() {}\nfunc A1() {\n\tsameFile()\n\tsamePkg()\n\tb.InB()\n\tal.InC()\n\tInD()\n\tfmt.Println()\n\tb.Missing()\n\tutil.Deep()\n\tnowhere()\n}\n"
@@ -121,6 +123,32 @@ def test_search(engine):
     assert lines(engine, "*function#c_f.body()") == ['p/d.c: <match>:1: "{ c_g(); if (c_h()) c_g(); }"']
 
 
+def test_regular_expressions_are_javas(engine):
+    assert lines(engine, r"id#/^\p{Lu}$/") == lines(engine, "id#/^[A-Z]$/") != []
+    with pytest.raises(ValueError):
+        engine.search("id#/(/")
+
+
+def test_quoting(spark):
+    text = "a\"b\\c\td\0e\x01f\x7fg\u00a0h\u200bi\u0301j é 語"
+    got = spark.createDataFrame([(text,)], "t string").select(quoted(F.col("t"))).first()[0]
+    assert got == '"a\\"b\\\\c\\td\\0e\\u{1}f\\u{7f}g\\u{a0}h\\u{200b}i\\u{301}j é 語"'
+
+
+def test_intervals_over_many_ranges(spark):
+    body = "".join(f"  if (a{i}) {{ g{i}(); }}\n" for i in range(400))
+    files = spark.createDataFrame([("a.c", "c", f"void f() {{\n{body}}}\nvoid h() {{ g7(); }}\n"), ("b.c", "c", "void f2() { g7(); }")], "path string, lang string, source string")
+    engine = Engine(spark, files)
+    assert engine.search("(*function @f).body((&function @c))").count() == 402
+    assert lines(engine, "*function &function#g399") == ['a.c: <match>:1: "void f() {"']
+    assert len(lines(engine, "*function (&function#g7 @c)")) == 3 and lines(engine, "*function#f ~ *function#h") == ['a.c: <match>:1: "void f() {"']
+
+
+def test_files_that_cannot_be_read(spark):
+    engine = Engine(spark, spark.createDataFrame([("x.go", "go", None), ("a.go", "go", "package a")], "path string, lang string, source string"))
+    assert engine.unreadable() == ["x.go"] and engine.search("id").count() >= 0
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "a.go").write_text("package a\nfunc F() { G() }\nfunc G() {}\n")
     path = str(tmp_path / "a.go")

@@ -116,3 +116,18 @@ def test_go_facts():
     assert [(r["var"], r["type"]) for r in rel(src, "go", "param")] == [("s", "S"), ("a", "T"), ("b", "T")]
     assert [(r["var"], r["bkind"], r.get("type"), r.get("name")) for r in rel(src, "go", "binding")] == [("x", "call", None, "f"), ("y", "typed", "V", None), ("z", "value", None, "g"), ("v", "typed", "W", None), ("w", "call", None, "n")]
     assert [(r["ckind"], r["name"]) for r in rel(src, "go", "call")] == [("bare", "f"), ("method", "n"), ("bare", "u"), ("bare", "h"), ("bare", "k")]
+
+
+NESTED = {
+    "c": ("int f() {", "if (a) {", "g();", "}", "}"), "cpp": ("int f() {", "if (a) {", "g();", "}", "}"), "go": ("package p\nfunc f() {", "if a {", "g()", "}", "}"),
+    "rust": ("fn f() {", "if a {", "g();", "}", "}"), "javascript": ("function f() {", "if (a) {", "g();", "}", "}"), "python": ("def f():\n  return ", "[", "g()", "]", "\n"),
+}
+
+
+@pytest.mark.parametrize("lang", NESTED)
+def test_deep_nesting_keeps_its_structure(lang):
+    head, left, inner, right, tail = NESTED[lang]
+    source = head + left * 3000 + inner + right * 3000 + tail
+    found = list(rows(parse(source, lang), source))
+    assert sum("call" in r[4] for r in found) == 1 and not any(r[4] == "ERROR" for r in found)
+    assert [r["name"] for r in facts(parse(source, lang), source, "x", lang) if r["rel"] == "call"] == ["g"]
