@@ -1,10 +1,12 @@
-"""Text forms of results, made on the driver from rows that it asked for."""
+"""Text forms of results. Lines are made in the cluster, for a file's outline in a task of its file; the driver joins
+the lines that it asked for. Call trees, of one name and a bounded depth, are drawn on the driver."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TEE, END, BAR, GAP = "├── ", "└── ", "│   ", "    "
@@ -25,12 +27,22 @@ def tree(children: dict[int, list[tuple[int, str]]], at: int = -1, prefix: str =
         yield from tree(children, number, prefix + (GAP if last else BAR))
 
 
+def outline_texts(items: DataFrame) -> DataFrame:
+    """path and the text of each file's outline."""
+
+    def draw(frame: pd.DataFrame) -> pd.DataFrame:
+        children: dict[int, list[tuple[int, str]]] = {}
+        for r in frame.sort_values("item_id").itertuples():
+            children.setdefault(r.parent_id, []).append((r.item_id, f"{r.kind} {r.name}  :{r.line}"))
+        return pd.DataFrame({"path": [frame["path"].iloc[0]], "text": ["".join(line + "\n" for line in tree(children))]})
+
+    rows = items.select("path", "item_id", "parent_id", "kind", "name", "line").where("path is not null")
+    return rows.groupBy("path").applyInPandas(draw, "path string, text string")
+
+
 def outline(items: DataFrame) -> str:
     """Outlines of files, a blank line between them."""
-    files: dict[str, dict[int, list[tuple[int, str]]]] = {}
-    for r in items.orderBy("path", "item_id").toLocalIterator():
-        files.setdefault(r["path"], {}).setdefault(r["parent_id"], []).append((r["item_id"], f"{r['kind']} {r['name']}  :{r['line']}"))
-    return "\n".join("".join(line + "\n" for line in tree(c)) for c in files.values())
+    return "\n".join(r["text"] for r in outline_texts(items).orderBy("path").toLocalIterator())
 
 
 def _base(path: str) -> str:
@@ -58,29 +70,47 @@ def calltree(name: str, roots: DataFrame, walked: DataFrame) -> str:
     return "\n".join(out)
 
 
+def edge_lines(edges: DataFrame) -> DataFrame:
+    """The edges with a line of text each."""
+    return edges.withColumn("text", F.concat("src_id", F.lit(" -> "), "dst_id", F.when(F.col("is_guess"), " ?").otherwise("")))
+
+
 def edge_list(edges: DataFrame) -> str:
-    rows = edges.orderBy("src_id", "dst_id", "src_label", "dst_label", "is_guess").toLocalIterator()
-    return "".join(f"{r['src_id']} -> {r['dst_id']}{' ?' if r['is_guess'] else ''}\n" for r in rows)
+    rows = edge_lines(edges).orderBy("src_id", "dst_id", "src_label", "dst_label", "is_guess").toLocalIterator()
+    return "".join(f"{r['text']}\n" for r in rows)
 
 
-def _quote(text: str) -> str:
-    return '"' + text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
+def _quote(text: str) -> Column:
+    escaped = F.col(text)
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        escaped = F.replace(escaped, F.lit(a), F.lit(b))
+    return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
-def dot(edges: DataFrame) -> str:
-    """The graph in DOT: nodes by id, then edges; guesses are dashed."""
+def dot_lines(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of the graph in DOT: its nodes (id, text), and its edges with a text each; guesses are dashed."""
     ends = edges.select(F.col("src_id").alias("id"), F.col("src_label").alias("label")).union(edges.select("dst_id", "dst_label"))
-    out = ["digraph callgraph {"]
-    for r in ends.groupBy("id").agg(F.min("label").alias("label")).orderBy("id").toLocalIterator():
-        out.append(f"    {_quote(r['id'])} [label={_quote(r['label'])}];")
-    out.append("")
-    for r in edges.orderBy("src_id", "dst_id", "src_label", "dst_label", "is_guess").toLocalIterator():
-        out.append(f"    {_quote(r['src_id'])} -> {_quote(r['dst_id'])}{' [style=dashed]' if r['is_guess'] else ''};")
+    nodes = ends.groupBy("id").agg(F.min("label").alias("label"))
+    nodes = nodes.select("id", F.concat(F.lit("    "), _quote("id"), F.lit(" [label="), _quote("label"), F.lit("];")).alias("text"))
+    style = F.when(F.col("is_guess"), " [style=dashed];").otherwise(";")
+    return nodes, edges.withColumn("text", F.concat(F.lit("    "), _quote("src_id"), F.lit(" -> "), _quote("dst_id"), style))
+
+
+def dot(edges: DataFrame) -> str:
+    """The graph in DOT: nodes by id, then edges."""
+    nodes, lines = dot_lines(edges)
+    out = ["digraph callgraph {", *(r["text"] for r in nodes.orderBy("id").toLocalIterator()), ""]
+    out += [r["text"] for r in lines.orderBy("src_id", "dst_id", "src_label", "dst_label", "is_guess").toLocalIterator()]
     return "\n".join([*out, "}"]) + "\n"
 
 
+def definition_lines(hits: DataFrame, files: DataFrame) -> DataFrame:
+    """Definitions found, with a line of text each: their place and source line."""
+    lines = files.select("path", F.posexplode(F.split("source", "\n")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), F.trim(F.regexp_replace("text", r"[\r\t]", " ")).alias("text"))
+    text = F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit(": "), F.coalesce("text", F.lit("")), F.when(F.col("is_guess"), "  ?").otherwise(""))
+    return hits.join(lines, ["path", "line"], "left").select("path", "line", text.alias("text"))
+
+
 def definitions(hits: DataFrame, files: DataFrame) -> str:
     """Definitions found, with their source lines."""
-    lines = files.select("path", F.posexplode(F.split("source", "\n")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), F.trim(F.regexp_replace("text", r"[\r\t]", " ")).alias("text"))
-    rows = hits.join(lines, ["path", "line"], "left").orderBy("path", "line").toLocalIterator()
-    return "".join(f"{r['path']}:{r['line']}: {r['text'] or ''}{'  ?' if r['is_guess'] else ''}\n" for r in rows)
+    return "".join(f"{r['text']}\n" for r in definition_lines(hits, files).orderBy("path", "line").toLocalIterator())

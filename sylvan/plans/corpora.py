@@ -133,3 +133,33 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
         files = _lang(_lines(supplier, _text(f"mixed/{lang}/n", _s("s_nationkey"), f".{ext}"), "s_suppkey", text, head=head), lang)
         out = files if out is None else out.unionByName(files)
     return out
+
+
+#: Suppliers of a file of :func:`shapes`.
+SUPPLIERS = 25
+#: For each file of a bucket of suppliers: language, path, head, and the lines of a supplier. ``{b}`` is the bucket, ``{k}`` the supplier.
+SHAPES = (
+    ("go", "shape/app/b{b}.go", 'package app\nimport "x.y/a/util"\n',
+     "func One{k}() {}\nfunc Two{k}() {}\nfunc Re{k}() {\n\tf := One{k}\n\tf()\n\tf := Two{k}\n\tf()\n}\nfunc Cl{k}() {\n\tgo func() { One{k}() }()\n}\n"
+     "func Ch{k}() {\n\ta := One{k}\n\tb := a\n\tc := b\n\td := c\n\te := d\n\td()\n\te()\n}\nfunc Odd{k}() {\n\tx := NewEven{k}()\n\tx.Go{k}()\n}\nfunc Pk{k}() { util.Help{k}() }"),
+    ("go", "shape/kind/b{b}.go", "package kind\n", "func (e *Even{k}) Go{k}() {}\nfunc (u *Uneven{k}) Go{k}() {}"),
+    ("go", "shape/a/util/b{b}.go", "package util\n", "func Help{k}() {}"),
+    ("go", "shape/b/util/b{b}.go", "package util\n", "func Help{k}() {}"),
+    ("go", "shape/clash/b{b}.go", 'package clash\nimport (\n\t"x.y/b/util"\n\t"x.y/a/util"\n)\n', "func Im{k}() { util.Help{k}() }"),
+    ("rust", "shape/src/r{b}.rs", "", "fn r_one{k}() {}\nfn r_two{k}() {}\nfn r_re{k}() {\n    let f = r_one{k};\n    f();\n    let f = r_two{k};\n    f();\n}\nfn r_cl{k}() { run(|x| r_one{k}()); }\nfn r_odd{k}() {\n    let x = Even{k}::odd();\n    x.r_go{k}();\n}"),
+    ("rust", "shape/src/kind{b}.rs", "", "impl Even{k} { fn r_go{k}(&self) {} }\nimpl Uneven{k} { fn r_go{k}(&self) {} }"),
+    ("javascript", "shape/js/b{b}.js", "", "const arrow{k} = (a) => a;\nfunction plain{k}(a) { return a; }"),
+    ("cpp", "shape/cpp/b{b}.cpp", "", "class P{k} {\npublic:\n  int proto{k}(int a);\n  int field{k};\n};\nint var{k} = 1;"),
+)
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files for each bucket of suppliers, with cases that the other corpora lack: variables bound anew, closures,
+    chains of bindings, constructors without a definition, packages of one name, arrow functions, prototypes."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.floor(F.col("s_suppkey") / SUPPLIERS).cast("string").alias("b"))
+    out = None
+    for lang, path, head, text in SHAPES:
+        written = F.replace(F.lit(text), F.lit("{k}"), _s("s_suppkey"))
+        files = _lang(_lines(rows, F.replace(F.lit(path), F.lit("{b}"), F.col("b")), "s_suppkey", written, head=head), lang)
+        out = files if out is None else out.unionByName(files)
+    return out

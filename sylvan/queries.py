@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.engine import Engine
-from sylvan.functions import languages
+from sylvan.functions import languages, render
 from sylvan.operators.outline import basename
 from sylvan.plans import corpora
 
@@ -338,3 +338,123 @@ def edges_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names are the same in all languages: ambiguous for those that match by name only."""
     named = over(corpora.mixed, spark, sf_dir).graph.named()
     return named.select(basename(F.col("src_path")).alias("src"), "src_name", "display", "dst_path", "is_guess")
+
+
+# methods in a class of C++ are in the outline, but no function pattern reaches their names: their calls have no edge
+ORACLES["edges_mixed"] = """
+select regexp_extract(path, '[^/]*$') as src, src_name, 'fn' || k as display, case when own then path end as dst_path, false as is_guess
+from (select cast(s_suppkey as varchar) as k, cast(s_nationkey as varchar) as n from supplier), lateral (
+  select 'mixed/' || lang || '/n' || n || '.' || ext as path, caller || k as src_name, own
+  from (values ('c', 'c', 'fn', false), ('javascript', 'js', 'run', false), ('python', 'py', 'run', false), ('rust', 'rs', 'run', true), ('go', 'go', 'fn', true)) t(lang, ext, caller, own)) t
+"""
+
+
+# ---- what structure alone tells: embedded fields, any node, variants without a name
+
+register("search_embedded_body", _ORDERS + "select distinct path, cast(f_line as int) as line from calls where p % 10 = 3")(
+    searched(corpora.c_orders, "(*function.body(&function#/3$/) @f)", {"start_line": "line"})
+)
+register("search_embedded_field", _ORDERS + "select path, cast(line as int) as line, 'part_' || cast(p as varchar) || '(' || cast(q as varchar) || ')' as text from calls where p % 10 = 7")(
+    searched(corpora.c_orders, "(&function.function(id#/7$/) @c)", {"start_line": "line", "text": "text"})
+)
+register("search_any_node", _ORDERS + "select path, cast(line as int) as line, 'part_' || cast(p as varchar) as text from calls where p = 7"
+         " union all select 'parts/b' || cast(p_partkey // 500 as varchar) || '.c', cast(row_number() over (partition by p_partkey // 500 order by p_partkey) as int), 'part_7' from part qualify p_partkey = 7")(
+    searched(corpora.c_orders, "#part_7", {"start_line": "line", "text": "text"})
+)
+
+#: Suppliers with their bucket, and the place in it.
+_SHAPE = f"with s as (select cast(s_suppkey as varchar) as k, s_suppkey // {corpora.SUPPLIERS} as bucket, cast(s_suppkey // {corpora.SUPPLIERS} as varchar) as b, row_number() over (partition by s_suppkey // {corpora.SUPPLIERS} order by s_suppkey) - 1 as i from supplier)"
+
+register("search_arrow", _SHAPE + " select 'shape/js/b' || b || '.js' as path, cast(1 + 2 * i as int) as line, '(a) => a' as text from s")(
+    searched(corpora.shapes, "*function#no_such_name", {"start_line": "line", "text": "text"})
+)
+register("search_prototype", _SHAPE + " select 'shape/cpp/b' || b || '.cpp' as path, cast(3 + 6 * i as int) as line, 'int proto' || k || '(int a);' as text from s")(
+    searched(corpora.shapes, "class (*function @p)", {"start_line": "line", "text": "text"})
+)
+register("outline_shapes", _SHAPE + """
+select 'shape/cpp/b' || b || '.cpp' as path, depth, kind, name || k as name, cast(place + 6 * i as int) as line from s,
+  (values (0, 'class', 'P', 1), (1, 'fn', 'proto', 3), (0, 'var', 'var', 6)) t(depth, kind, name, place)
+union all
+select 'shape/js/b' || b || '.js', 0, 'fn', name || k, cast(place + 2 * i as int) from s, (values ('arrow', 1), ('plain', 2)) t(name, place)
+""")(lambda spark, sf_dir: over(corpora.shapes, spark, sf_dir).outline().where("path like '%.cpp' or path like '%.js'").select("path", "depth", "kind", "name", "line"))
+
+_SHAPE_EDGES = """
+select 'shape/{app}/b' || b || '.{ext}' as src_path, src || k as src_name, display || case when named then k else '' end as callee, case when dst is not null then 'shape/' || folder || b || '.{ext}' end as dst_path,
+  dst || k as dst_name, false as is_guess from s, (values {rows}) t(src, display, named, folder, dst)
+"""
+
+
+def _shape_edges(rows: str, app: str, ext: str) -> str:
+    return _SHAPE_EDGES.format(rows=rows, app=app, ext=ext)
+
+
+register("edges_shapes_go", _SHAPE + _shape_edges(
+    "('Re', 'f', false, 'app/b', 'One'), ('Re', 'f', false, 'app/b', 'Two'), ('Cl', 'One', true, 'app/b', 'One'), ('Ch', 'd', false, 'app/b', 'One'), ('Ch', 'e', false, null, null),"
+    " ('Odd', 'NewEven', true, null, null), ('Odd', 'Go', true, 'kind/b', 'Go'), ('Pk', 'Help', true, 'a/util/b', 'Help')", "app", "go")
+    + " union all " + _shape_edges("('Im', 'Help', true, 'b/util/b', 'Help')", "clash", "go"))(
+    lambda spark, sf_dir: _named_edges(spark, sf_dir, ".go")
+)
+register("edges_shapes_rust", _SHAPE + """
+select 'shape/src/r' || b || '.rs' as src_path, src || k as src_name, display || case when named then k else '' end as callee, case when dst is not null then 'shape/src/' || folder || b || '.rs' end as dst_path,
+  dst || k as dst_name, false as is_guess from s, (values ('r_re', 'f', false, 'r', 'r_one'), ('r_re', 'f', false, 'r', 'r_two'), ('r_cl', 'run', false, null, null), ('r_cl', 'r_one', true, 'r', 'r_one'),
+  ('r_odd', 'odd', false, null, null), ('r_odd', 'r_go', true, 'kind', 'r_go')) t(src, display, named, folder, dst)
+""")(lambda spark, sf_dir: _named_edges(spark, sf_dir, ".rs"))
+
+
+def _named_edges(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
+    """Edges of one language of the shapes, with the names of both ends."""
+    named = over(corpora.shapes, spark, sf_dir).graph.named().where(F.col("src_path").endswith(ext))
+    return named.select("src_path", "src_name", F.col("display").alias("callee"), "dst_path", "dst_name", "is_guess")
+
+
+# ---- texts
+
+_LAST = "case when i = max(i) over (partition by bucket) then '└── ' else '├── ' end"
+register("outline_text", _SHAPE + f"""
+select 'shape/cpp/b' || b || '.cpp' as path, string_agg('├── class P' || k || '  :' || cast(1 + 6 * i as varchar) || chr(10) || '│   └── fn proto' || k || '  :' || cast(3 + 6 * i as varchar) || chr(10)
+  || last || 'var var' || k || '  :' || cast(6 + 6 * i as varchar) || chr(10), '' order by i) as text from (select *, {_LAST} as last from s) group by b
+union all
+select 'shape/js/b' || b || '.js', string_agg('├── fn arrow' || k || '  :' || cast(1 + 2 * i as varchar) || chr(10) || last || 'fn plain' || k || '  :' || cast(2 + 2 * i as varchar) || chr(10), '' order by i)
+from (select *, {_LAST} as last from s) group by b
+""")(lambda spark, sf_dir: render.outline_texts(over(corpora.shapes, spark, sf_dir).outline().where("path like '%.cpp' or path like '%.js'")))
+
+#: Edges of the Rust files: caller's line and name, callee's file, line and name (or the bare name of what is outside).
+_RUST_EDGES = _SHAPE + """, e as (select 'r' || b || '.rs:' || cast(13 * i + f_line as varchar) as src_id, src || k as src_name, case when to_line is null then dst else folder || b || '.rs:' || cast(width * i + to_line as varchar) end as dst_id, dst || case when to_line is null then '' else k end as dst_name, to_line
+  from s, (values (3, 'r_re', 'r', 13, 1, 'r_one'), (3, 'r_re', 'r', 13, 2, 'r_two'), (9, 'r_cl', null, null, null, 'run'), (9, 'r_cl', 'r', 13, 1, 'r_one'), (10, 'r_odd', null, null, null, 'odd'), (10, 'r_odd', 'kind', 2, 1, 'r_go')) t(f_line, src, folder, width, to_line, dst))
+"""
+
+
+def _rust(frame: DataFrame) -> DataFrame:
+    return frame.where(F.col("src_id").rlike(r"^r\d+\.rs:"))
+
+
+register("edge_list_text", _RUST_EDGES + "select src_id || ' -> ' || dst_id as text from e")(
+    lambda spark, sf_dir: _rust(render.edge_lines(over(corpora.shapes, spark, sf_dir).edges())).select("text")
+)
+register("dot_text", _RUST_EDGES + """
+select distinct '    "' || id || '" [label="' || name || '\\n' || id || '"];' as text from (select src_id as id, src_name as name from e union all select dst_id, dst_name from e where to_line is not null)
+union all select '    "' || src_id || '" -> "' || dst_id || '";' from e
+""")(lambda spark, sf_dir: _dot_text(spark, sf_dir))
+register("definition_text", _SHAPE + " select 'shape/src/r' || b || '.rs:' || cast(13 * i + 1 as varchar) || ': fn r_one7() {}' as text from s where k = '7'")(
+    lambda spark, sf_dir: _definition_text(spark, sf_dir)
+)
+register("call_tree_text", _SHAPE + """
+select cast(n as bigint) as n, text from (select 'r' || b || '.rs:' || cast(13 * i + 1 as varchar) as one from s where k = '7'),
+  lateral (select 0 as n, 'r_cl7()' as text union all select 1, '├── r_one7()  [' || one || ']' union all select 2, '└── run()') t
+""")(lambda spark, sf_dir: _call_tree_text(spark, sf_dir))
+
+
+def _dot_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = render.dot_lines(over(corpora.shapes, spark, sf_dir).edges())
+    return nodes.where(F.col("id").rlike(r"^(r|kind)\d+\.rs:")).select("text").unionByName(_rust(edges).select("text"))
+
+
+def _definition_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = over(corpora.shapes, spark, sf_dir)
+    return render.definition_lines(engine.definition("r_one7"), engine.files).select("text")
+
+
+def _call_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one function calls, drawn on the driver: a tree of one name and a bounded depth."""
+    lines = over(corpora.shapes, spark, sf_dir).callees_text("r_cl7").splitlines()
+    return spark.createDataFrame(list(enumerate(lines)), "n long, text string")
