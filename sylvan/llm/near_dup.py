@@ -214,12 +214,12 @@ def classes(rows: DataFrame, sample: int = SAMPLE, most: int = COMMON, few: int
     ship(rows.sparkSession)
     rows = rows.withColumn("text", F.col("text").cast("string"))
     marks = materialise(prints(rows, *_common(rows, sample, most)), "near-prints")
-    posts = marks.select("fp", "n", "often", "odd", F.posexplode("prefix").alias("pos", "shingle"))
+    posts = marks.select("fp", "n", F.posexplode("prefix").alias("pos", "shingle"))
     each = Window.partitionBy("shingle")
     met = posts.withColumns({"lo": F.min("fp").over(each), "hi": F.max("fp").over(each)}).where("lo < hi").drop("lo", "hi")
     met = materialise(met.distinct(), "near-met")
-    known = marks.join(met.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("row", "sim", "cells")).alias("m"))
-    known = materialise(known.select("fp", "m.row", "m.sim", "m.cells"), "near-known")
+    known = marks.join(met.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("row", "sim", "often", "odd", "cells")).alias("m"))
+    known = materialise(known.select("fp", "m.row", "m.sim", "m.often", "m.odd", "m.cells"), "near-known")
 
     def compared(candidates: DataFrame) -> DataFrame:
         pairs = materialise(_possible(candidates, known.select("fp", "cells")), "near-pairs")
@@ -241,7 +241,8 @@ def classes(rows: DataFrame, sample: int = SAMPLE, most: int = COMMON, few: int
         held = materialise(held, "near-held")
         size = held.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs")).first()
         last = turn >= STARS or turn > 0 and (size["pairs"] or 0) <= few * (size["rows"] or 0)
-        left = materialise(at.join(held.select("shingle"), "shingle", "left_semi"), "near-left")
+        left = at.join(held.select("shingle"), "shingle", "left_semi")
+        left = materialise(left if turn else left.join(known.select("fp", "often", "odd"), "fp"), "near-left")
         discard(at, held, met)
         met = left.drop("c")
         met._sylvan_path = left._sylvan_path  # noqa: SLF001

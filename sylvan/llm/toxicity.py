@@ -2,14 +2,14 @@
 
 Many weak voters look at a document: a fixed lexicon for each language, patterns (shouting, masked
 letters, abuse in the second person), and groups of words and word beginnings mined from
-labelled rows. A voter fires or doesn't. The given label of a training row is one more voter whose
+labelled rows: on either half of the sample those vote that the other half showed. A voter fires or doesn't. The given label of a training row is one more voter whose
 accuracy is estimated like the others'. A generative label model has the true class as
 its hidden variable: the class draws the votes, and a voter may also depend on one other voter, its parent in a
 tree (the heaviest spanning forest of the voters' mutual information given the class, edges beyond chance only). So
 the parameters are the class's share, and each voter's rate of firing for each class and each vote of its parent:
 accuracies and correlations, all estimated by expectation maximisation from the votes. The given label has no
 parent and is none: it errs independently of the others given the class. A voter fires at least as often in
-class 1 as in class 0 (the one for clean texts at most). A linear (logistic) classifier is trained on the posterior
+class 1 as in class 0. A linear (logistic) classifier is trained on the posterior
 labels, over words and word beginnings, and scores every whole text.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 5 is not 0, at most
@@ -130,21 +130,26 @@ def signs_of(text: str | None) -> Iterator[tuple[str, int]]:
     yield from ((b, k) for b, c in begin.items() for k in STEPS if c >= k)
 
 
-def mined(sample: DataFrame, ones: int, zeros: int) -> list[tuple[str, int]]:
-    """Signs that tell the classes apart: (word, 0) or (beginning, least count), best information first,
-    at most one step for each beginning. ``sample``: toxic and text."""
+def counted(sample: DataFrame) -> DataFrame:
+    """s, k, half, a, b: in how many rows of class 1 and class 0 of a half of the sample each sign is. ``sample``: half,
+    toxic and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: Counter = Counter()
-            for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.update((s, k, t) for s, k in signs_of(text))
-            columns = list(zip(*((s, k, t, n) for (s, k, t), n in held.items()), strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["s", "k", "t", "n"])
+            for half, t, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.update((s, k, half, t) for s, k in signs_of(text))
+            columns = list(zip(*((*key, n) for key, n in held.items()), strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["s", "k", "half", "t", "n"])
 
-    each = sample.select("toxic", "text").mapInArrow(run, "s string, k int, t int, n long")
+    each = sample.select("half", "toxic", "text").mapInArrow(run, "s string, k int, half int, t int, n long")
     count = lambda t: F.sum(F.when(F.col("t") == t, F.col("n")).otherwise(0))
-    held = materialise(each.groupBy("s", "k").agg(count(1).alias("a"), count(0).alias("b")), "toxic-signs")
+    return materialise(each.groupBy("s", "k", "half").agg(count(1).alias("a"), count(0).alias("b")), "toxic-signs")
+
+
+def mined(held: DataFrame, ones: int, zeros: int) -> list[tuple[str, int]]:
+    """Signs that tell the classes apart: (word, 0) or (beginning, least count), best information first,
+    at most one step for each beginning. ``held``: s, k, a, b as :func:`counted` has them; ``ones``, ``zeros``: the rows."""
     words = held.where("k = 0")
     # beginnings count that several words of class 1 have
     starts = F.explode(F.filter(F.array(*[F.when(F.length("s") > n, F.substring("s", 1, n)) for n in BEGINNINGS]), lambda x: x.isNotNull()))
@@ -156,12 +161,11 @@ def mined(sample: DataFrame, ones: int, zeros: int) -> list[tuple[str, int]]:
 
     pooled = (F.col("a") + F.col("b") + 0.2) / (ones + zeros + 2)
     gain = ones * divergence((F.col("a") + 0.1) / (ones + 1), pooled) + zeros * divergence((F.col("b") + 0.1) / (zeros + 1), pooled)
-    known = words.union(held.where("k > 0").join(variety.where(F.col("words") >= SUPPORT).select("s"), "s", "left_semi"))
+    known = words.union(held.where("k > 0").join(variety.where(F.col("words") >= SUPPORT).select("s"), "s", "left_semi").select(*words.columns))
     known = known.where((F.col("a") + F.col("b") >= SUPPORT) & (F.col("a") * zeros > 3 * F.col("b") * ones)).withColumn("gain", gain)
     # beyond what so many trials give by chance; the best step of a beginning
     best = known.where(F.col("gain") > math.log(max(trials, 2))).groupBy("s", (F.col("k") > 0).alias("begins")).agg(F.max(F.struct("gain", "k")).alias("m"))
     rows = best.select("s", "m.k", "m.gain").orderBy(F.desc("gain"), "s", "k").limit(SIGNS).collect()
-    discard(held)
     return [(r["s"], r["k"]) for r in rows]
 
 
@@ -243,20 +247,23 @@ def label_model(fires: np.ndarray, clean: tuple[int, ...] = (), rounds: int = 10
     return model
 
 
+def groups(found: tuple[tuple[str, int], ...]) -> list[frozenset[tuple[str, int]]]:
+    """Mined voters: signs of like information together; always as many."""
+    own = [s for s in found if s[0] not in LEXICON]
+    out = []
+    for kind, many in zip(([s for s in own if s[1] == 0], [s for s in own if s[1]]), GROUPS, strict=True):
+        size = max(1, -(-len(kind) // many))
+        out += [frozenset(kind[i * size : (i + 1) * size]) for i in range(many)]
+    return out
+
+
 @dataclass(frozen=True)
 class Signs:
-    """What is looked for in the sampled rows: the voters' signs, and the classifier's words and beginnings."""
+    """What is looked for in the sampled rows: the classifier's signs, and those that vote on the rows of either half,
+    which were mined from the other half: a sign's chance hits are no votes."""
 
     found: tuple[tuple[str, int], ...]
-
-    def groups(self) -> list[frozenset[tuple[str, int]]]:
-        """Mined voters: signs of like information together."""
-        own = [s for s in self.found if s[0] not in LEXICON]
-        out = []
-        for kind, many in zip(([s for s in own if s[1] == 0], [s for s in own if s[1]]), GROUPS, strict=True):
-            size = max(1, -(-len(kind) // many))
-            out += [frozenset(kind[i : i + size]) for i in range(0, len(kind), size)]
-        return out
+    votes: tuple[tuple[tuple[str, int], ...], tuple[tuple[str, int], ...]]
 
     def words(self) -> list[str]:
         return sorted(LEXICON | {s for s, k in self.found if k == 0})
@@ -269,17 +276,17 @@ class Signs:
         return [(w, "") for w in self.words()] + [(b, s) for b in self.begins() for s in level(100, 100)]
 
     def looker(self):
-        """A function of the text: which voters fire, and the numbers of its features."""
+        """A function of half and text: which voters fire, and the numbers of the text's features."""
         number = {x: i for i, x in enumerate(self.features())}
-        begins, groups = set(self.begins()), self.groups()
+        begins, voters = set(self.begins()), [groups(v) for v in self.votes]
 
-        def look(text: str | None) -> tuple[list[bool], list[int]]:
+        def look(half: int, text: str | None) -> tuple[list[bool], list[int]]:
             signs = set(signs_of(text))
             words = {s for s, k in signs if k == 0}
-            votes = [*patterns(text), *(not words.isdisjoint(x) for x in LEXICONS), *(not signs.isdisjoint(g) for g in groups)]
+            votes = [*patterns(text), *(not words.isdisjoint(x) for x in LEXICONS), *(not signs.isdisjoint(g) for g in voters[half])]
             begin = Counter(b for w in words for n in BEGINNINGS if len(w) > n and (b := w[:n]) in begins)
             got = [number[w, ""] for w in words if (w, "") in number] + [number[b, s] for b, n in begin.items() for s in level(n, len(words))]
-            return [*votes, not any(votes)], sorted(got)
+            return votes, sorted(got)
 
         return look
 
@@ -291,7 +298,7 @@ def fit(signs: Signs, rows: list[tuple[int, list[bool], list[int]]], share: floa
     if not len(y) or not 0 < y.sum() < len(y):
         return Model()
     fires = np.array([[t, *votes] for t, votes, _ in rows], float)
-    target = label_model(fires, (fires.shape[1] - 1,)).posterior(fires) if posterior else y
+    target = label_model(fires).posterior(fires) if posterior else y
     # the sample holds the given labels in other shares than the table
     odds = share / (1 - share) * (1 - y.mean()) / y.mean()
     names = signs.features()
@@ -337,18 +344,24 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, poster
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows of two numbers
     # a doc_id that the table repeats counts once; the order of tasks plays no part
-    sample = materialise(sample.groupBy("doc_id").agg(F.min(F.struct("toxic", "text")).alias("m")).select("doc_id", "m.toxic", "m.text"), "toxic-sample")
-    ones, zeros = (sample.where(F.col("toxic") == t).count() for t in (1, 0))
-    signs = Signs(tuple(mined(sample, ones, zeros)) if ones and zeros else ())
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("toxic", "text")).alias("m")).select("doc_id", "m.toxic", "m.text")
+    sample = materialise(sample.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")), "toxic-sample")
+    many = {(r["half"], r["toxic"]): r["count"] for r in sample.groupBy("half", "toxic").count().collect()}  # four rows
+    held = counted(sample)
+    whole = held.groupBy("s", "k").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    found = mined(whole, *(sum(n for (_, x), n in many.items() if x == t) for t in (1, 0)))
+    other = [mined(held.where(F.col("half") == 1 - h).drop("half"), many.get((1 - h, 1), 0), many.get((1 - h, 0), 0)) for h in (0, 1)]
+    signs = Signs(tuple(found), (tuple(other[0]), tuple(other[1])))
+    discard(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = signs.looker()
         for batch in batches:
-            seen = [look(x) for x in batch.column(2).to_pylist()]
+            seen = [look(h, x) for h, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v for v, _ in seen], pa.list_(pa.bool_())), pa.array([f for _, f in seen], pa.list_(pa.int32()))], names=["doc_id", "toxic", "votes", "features"])
         release()
 
-    got = sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, votes array<boolean>, features array<int>")
+    got = sample.select("doc_id", "toxic", "half", "text").mapInArrow(run, "doc_id long, toxic int, votes array<boolean>, features array<int>")
     rows = sorted((r["doc_id"], r["toxic"], list(r["votes"]), list(r["features"])) for r in got.toLocalIterator())
     discard(sample)
     return fit(signs, [r[1:] for r in rows], sizes[1] / (sizes[0] + sizes[1]), posterior)
