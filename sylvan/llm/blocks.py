@@ -23,7 +23,7 @@ from sylvan.runtime import release, ship
 #: Numbers in a shard's vectors.
 CELLS = 4_194_304
 #: Rows that every query meets first.
-SEEDS = 1_024
+SEEDS = 4_096
 #: Queries that are worked on together.
 BATCH = 256
 

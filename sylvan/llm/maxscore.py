@@ -5,7 +5,8 @@ list. In a shard a term contributes between lo and hi, its least and greatest
 product with the query's weight. Terms are taken in the order of hi - lo, added up over a batch of queries. They split
 where a document that gets no more than lo from all terms before could not reach the
 threshold even with hi from all that follow, for any query of the batch: the terms before are essential, and their
-postings are traversed for the whole shard, a block of documents at a time for all queries of the batch; the
+postings are traversed for the whole shard, a block of documents at a time for all queries of the batch. So are those
+that follow while most documents are still competitive, which costs less than to probe them. The
 others are probed, a few at a time, only for pairs of query and document whose score so far plus the hi
 of what is left still reaches the query's threshold. The threshold is the k-th best score that the query has met so
 far: among the seed rows that all queries meet first, among the shard's first documents, and in the blocks done.
@@ -33,6 +34,8 @@ SCALE = 64
 WARM = 256
 #: Documents of a block, and terms that are probed at a time.
 BLOCK, PROBE = 16_384, 8
+#: Share of the documents that are competitive still, up to which the other terms are probed document by document.
+FEW = 1 / 16
 
 
 def exact_type(d: np.ndarray, q: np.ndarray) -> type:
@@ -80,11 +83,19 @@ def one_batch(post: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarr
         out = least + rest < floor[:, None]
         essential = int(np.where(out.any(axis=1), out.argmax(axis=1), len(order)).max(initial=0))
         part, names = post[:, at : at + block], ids[at : at + block]
-        score = (w[:, :essential] @ part[:essential]).astype(np.float64)
-        alive = score + rest[:, essential, None] >= floor[:, None]
-        alive &= names[None, :] != own[:, None]
-        i, j = np.nonzero(alive)
-        score = score[i, j]
+        score = w[:, :essential] @ part[:essential]
+        while True:
+            # rounded down, so that none is lost where the type is narrow
+            least_score = np.nextafter((floor - rest[:, essential]).astype(post.dtype), post.dtype.type(-np.inf))[:, None]
+            if essential == len(order) or (score[:, :WARM] >= least_score).mean() <= FEW:
+                break
+            step = slice(essential, essential + PROBE)  # most documents are competitive still: one more step for all
+            score += w[:, step] @ part[step]
+            essential = min(essential + PROBE, len(order))
+        i, j = np.nonzero(score >= least_score)
+        other = names[j] != own[i]
+        i, j = i[other], j[other]
+        score = score[i, j].astype(np.float64)
         for p in range(essential, len(order), PROBE):
             score = score + (w[i, p : p + PROBE] * part[p : p + PROBE, j].T).sum(axis=1)
             done = min(p + PROBE, len(order))
