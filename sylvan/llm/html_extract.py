@@ -10,8 +10,9 @@ node whose text is mostly constant is template; one whose text varies is a slot.
 
 The content is the deepest node of the wrapper that holds ``MOST`` of the slots' text, but a heading that varies
 beside that text belongs to it. Where several nested nodes hold it, an article or main element among
-them breaks the tie. The main text of a page is what lies in its nodes under the content node, without template nodes and
-constant texts; in an article or main element only containers are cut whose text never varies, on
+them breaks the tie. The main text of a page is what lies in its nodes under the content node, without template nodes, and
+without constant texts of containers: a paragraph, heading, item or cell of a slot is running text, where authors
+repeat themselves, and stays. In an article or main element only containers are cut whose text never varies, on
 ``SURE`` pages or more. Elements, roles, classes and ids that name menus, headers, footers, sidebars, notices, adverts,
 forms, comments, scripts or styles take a part out before the alignment, since menus and adverts may vary, too.
 
@@ -562,7 +563,8 @@ def extract(source: str | None, wrapper: str | None = None, counts: str | None =
         found = []
         for (node, text), place in zip(page.texts, places(page), strict=True):
             w = to[node]
-            if inside[w] and (lone[node] or not template[w]) and (in_main[w] or place not in fixed):
+            running = in_main[w] or page.keys[node].partition(".")[0] in FLOW
+            if inside[w] and (lone[node] or not template[w]) and (running or place not in fixed):
                 found.append(text)
         if found:
             return "\n\n".join(found)
