@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from sylvan.functions.languages import FUNCTIONS
 from sylvan.sources.cst.tree import Lines, Node
@@ -30,6 +31,64 @@ COLUMNS = (
 )
 
 
+@dataclass(frozen=True)
+class Shape:
+    """How a node is an item of an outline: the item's kind; paths to its name, of which the first in the text counts;
+    where it is one (``top``, ``inside`` or anywhere); which nodes of its body it holds (a kind, or all; None: it holds
+    none and needs a name); a path to a node whose kind makes it another item (path, kinds, item's kind); and the path to
+    the node that the other paths start from."""
+
+    kind: str
+    paths: tuple[str, ...] = ("name",)
+    where: str = ""
+    holds: str | None = None
+    unless: tuple[str, frozenset[str], str] | None = None
+    of: str = ""
+
+
+def reach(node: Node | None, path: str) -> Node | None:
+    """The node at the end of a path: ``field``, ``field:kind`` or ``field:`` for the innermost of nested ones,
+    ``>kind`` for the first child of a kind that has what follows (``>kind?field``: that has the field), ``0:kind`` for the
+    first child if of a kind."""
+    step, _, rest = path.partition("/")
+    if node is None or not step:
+        return node
+    if step[0] == ">":
+        kind, _, field = step[1:].partition("?")
+        found = (reach(k, rest) for k in node.of(kind) if not field or k.get(field) is not None)
+        return next((x for x in found if x is not None), None)
+    name, colon, kind = step.partition(":")
+    if name == "0":
+        at = node.kids[0] if node.kids and node.kids[0].kind == kind else None
+    else:
+        at = node.get(name)
+        if colon and not kind:
+            while at is not None and at.kind not in ("identifier", "field_identifier"):
+                at = at.get(name) or at.get("name")
+        elif kind and at is not None and at.kind != kind:
+            at = None
+    return reach(at, rest)
+
+
+_C = {"function_definition": (Shape("fn", ("declarator:",)),), "declaration": (Shape("var", (">identifier", ">init_declarator/declarator"), "top"),)}
+_VARIABLE = Shape("var", ("name",), "top", None, ("value", frozenset(("arrow_function", "function")), "fn"), ">variable_declarator?name")
+_RUST_VARIABLE = Shape("var", where="top")
+#: Language, kind of node, its items.
+OUTLINES: dict[str, dict[str, tuple[Shape, ...]]] = {
+    "c": _C,
+    "cpp": _C | {f"{k}_{end}": (Shape(k, holds=""),) for k, end in (("namespace", "definition"), ("class", "specifier"), ("struct", "specifier"))}
+    | {"field_declaration": (Shape("fn", ("declarator:function_declarator/declarator",), "inside"),)},
+    "python": {"function_definition": (Shape("fn"),), "class_definition": (Shape("class", holds=""),), "expression_statement": (Shape("var", ("0:assignment/left:identifier",), "top"),)},
+    "javascript": {
+        "function_declaration": (Shape("fn"),), "method_definition": (Shape("fn", where="inside"),), "class_declaration": (Shape("class", holds="method_definition"),),
+        "lexical_declaration": (_VARIABLE,), "variable_declaration": (_VARIABLE,),
+    },
+    "rust": {"function_item": (Shape("fn"),), "impl_item": (Shape("impl", ("type",), holds=""),), "const_item": (_RUST_VARIABLE,), "static_item": (_RUST_VARIABLE,)}
+    | {f"{k}_item": (Shape(k, holds=""),) for k in ("mod", "struct", "enum", "trait")},
+    "go": {"function_declaration": (Shape("fn"),), "method_declaration": (Shape("fn"),), "type_declaration": (Shape("type", (">type_spec/name",), "top"),)},
+}
+
+
 class Facts:
     """Collects the rows of a file."""
 
@@ -59,84 +118,29 @@ class Facts:
                 n = self.add("outline", parent=parent, depth=depth, kind=kind, name=name, line=self.line(node))
                 self.outline(below, n, depth + 1)
 
-    def items(self, node: Node, top: bool) -> list[tuple[str, str, list[Node]]]:
+    def items(self, node: Node, top: bool) -> Iterator[tuple[str, str, list[Node]]]:
         """What a node adds to the outline: kind, name, and the nodes whose items it holds."""
-        item = getattr(self, f"item_{'c' if self.lang in ('c', 'cpp') else self.lang}")(node, top)
-        found = [] if item is None or item[1] is None else [item]
-        if self.lang == "cpp" and not top and node.kind == "field_declaration":
-            d = node.get("declarator")
-            inner = d.get("declarator") if d is not None and d.kind == "function_declarator" else None
-            if inner is not None:
-                found.append(("fn", self.text(inner), []))
-        return found
+        for shape in OUTLINES[self.lang].get(node.kind, ()):
+            if shape.where not in ("", "top" if top else "inside"):
+                continue
+            start = reach(node, shape.of)
+            ends = sorted(filter(None, (reach(start, path) for path in shape.paths)), key=lambda n: n.start)
+            name = (self.text(ends[0]) or "").partition("\n")[0] if ends else ""
+            if not name and shape.holds is None:
+                continue
+            kind = shape.kind
+            if shape.unless:
+                path, kinds, other = shape.unless
+                value = reach(start, path)
+                kind = other if value is not None and value.kind in kinds else kind
+            body = node.get("body")
+            below = [] if shape.holds is None or body is None else [k for k in body.kids if shape.holds in ("", k.kind)]
+            yield kind, name or "(anonymous)", below
 
     def body(self, node: Node) -> list[Node]:
         b = node.get("body")
         return b.kids if b is not None else []
 
-    def named(self, node: Node) -> str:
-        return self.text(node.get("name")) or "(anonymous)"
-
-    def item_c(self, node: Node, top: bool) -> tuple | None:
-        if node.kind == "function_definition":
-            d = node.get("declarator")
-            while d is not None and d.kind not in ("identifier", "field_identifier"):
-                d = d.get("declarator") or d.get("name")
-            return ("fn", self.text(d), [])
-        if self.lang == "cpp" and node.kind in ("namespace_definition", "class_specifier", "struct_specifier"):
-            return (node.kind.partition("_")[0], self.named(node), self.body(node))
-        if node.kind == "declaration" and top:
-            for k in node.kids:
-                if k.kind == "identifier":
-                    return ("var", self.text(k), [])
-                if k.kind == "init_declarator" and k.get("declarator") is not None:
-                    return ("var", self.text(k.get("declarator")), [])
-        return None
-
-    def item_python(self, node: Node, top: bool) -> tuple | None:
-        if node.kind == "function_definition":
-            return ("fn", self.text(node.get("name")), [])
-        if node.kind == "class_definition":
-            return ("class", self.named(node), self.body(node))
-        if top and node.kind == "expression_statement" and node.kids and node.kids[0].kind == "assignment":
-            left = node.kids[0].get("left")
-            return ("var", self.text(left), []) if left is not None and left.kind == "identifier" else None
-        return None
-
-    def item_javascript(self, node: Node, top: bool) -> tuple | None:
-        if node.kind == "function_declaration":
-            return ("fn", self.text(node.get("name")), [])
-        if node.kind == "class_declaration":
-            return ("class", self.named(node), [k for k in self.body(node) if k.kind == "method_definition"])
-        if node.kind == "method_definition" and not top:
-            return ("fn", self.text(node.get("name")), [])
-        if top and node.kind in ("lexical_declaration", "variable_declaration"):
-            first = next((k for k in node.kids if k.kind == "variable_declarator" and k.get("name") is not None), None)
-            if first is not None:
-                value = first.get("value")
-                return ("fn" if value is not None and value.kind in ("arrow_function", "function") else "var", self.text(first.get("name")), [])
-        return None
-
-    def item_rust(self, node: Node, top: bool) -> tuple | None:
-        kind = node.kind.removesuffix("_item")
-        if node.kind == "function_item":
-            return ("fn", self.text(node.get("name")), [])
-        if node.kind in ("mod_item", "struct_item", "enum_item", "trait_item"):
-            return (kind, self.named(node), self.body(node))
-        if node.kind == "impl_item":
-            return (kind, (self.text(node.get("type")) or "(anonymous)").split("\n")[0], self.body(node))
-        if top and node.kind in ("const_item", "static_item"):
-            return ("var", self.text(node.get("name")), [])
-        return None
-
-    def item_go(self, node: Node, top: bool) -> tuple | None:
-        if node.kind in ("function_declaration", "method_declaration"):
-            return ("fn", self.text(node.get("name")), [])
-        if top and node.kind == "type_declaration":
-            spec = next(iter(node.of("type_spec")), None)
-            return ("type", self.text(spec.get("name")), []) if spec is not None else None
-        return None
-
     # ---- relations
 
     def collect(self) -> list[dict]:
