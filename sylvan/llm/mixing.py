@@ -38,8 +38,8 @@ BLOCK = 16
 SEED = "mix-1"
 #: Hex digits of the MD5 by which a source's rows are dealt out: 4,096 pieces of each source.
 DIGITS = 3
-#: Rows of a file of :func:`in_order`.
-ROWS = 8192
+#: Rows of a file of :func:`in_order`, at most; fewer where the cluster's cores would lack work.
+ROWS = 65_536
 
 
 def period(quotas: dict[str, int]) -> list[str]:
@@ -137,12 +137,15 @@ def schedule(docs: DataFrame, names: list[str], quotas: dict[str, int] = QUOTAS,
     )
 
 
-def in_order(docs: DataFrame, rows_a_file: int = ROWS) -> DataFrame:
+def in_order(docs: DataFrame, rows_a_file: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` in the order of the schedule: written, files in order of name and rows in order
     within hold consecutive ranks. Ranks are dense, so a row's file is arithmetic and no range is sampled."""
     names = free(docs, "mix_group", "mix_block", "mix_slot", "mix_rank")
     rank = names[3]
-    files = max(1, -(-docs.count() // rows_a_file))
+    n = docs.count()
+    if rows_a_file is None:
+        rows_a_file = min(ROWS, max(1, -(-n // (4 * docs.sparkSession.sparkContext.defaultParallelism))))
+    files = max(1, -(-n // rows_a_file))
     placed = schedule(docs, names).repartitionById(files, F.least(F.floor(F.col(rank) / rows_a_file), F.lit(files - 1)).cast("int"))
     return placed.sortWithinPartitions(rank).select(*[F.col(f"`{c}`") for c in docs.columns])
 
