@@ -201,7 +201,7 @@ def by_fingerprint(known: DataFrame) -> DataFrame:
     """Candidates (u, v) of operator 4: one set for each fingerprint meets the others of that fingerprint, and those
     that stand for the fingerprints at two bits or less. ``known``: fp and sim of distinct sets."""
     sims = materialise(known.groupBy("sim").agg(F.min("fp").alias("first")), "near-sims")
-    near = simhash.links(sims.select(F.col("sim").alias("fp")))
+    near = simhash.links(sims.select(F.col("sim").alias("fp")))  # both are read until the candidates are written
     same = known.join(sims, "sim").where("fp <> first").select("first", "fp")
     ends = near.join(sims.toDF("u", "a"), "u").join(sims.toDF("v", "b"), "v").select("a", "b")
     return same.union(ends).toDF("u", "v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -277,6 +277,7 @@ def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     group = each.join(roots, each["fp"] == roots["node"], "left").withColumn("group", F.coalesce("root", "fp"))
     kept = group.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     gone = materialise(marks.select(F.col("row").alias(row)).join(kept, row, "left_anti"), "near-gone")
+    discard(marks, each, roots)
     if gone.count() <= BROADCAST_KEYS:
         gone = F.broadcast(gone)
     return given.join(gone, row, "left_anti").drop(row)
