@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.operators.outline import definitions, folder
-from sylvan.runtime import discard, materialise
+from sylvan.runtime import discard, materialise, together
 
 LEVELS = 5
 SEP = "\x01"
@@ -69,9 +69,8 @@ class Index:
         )
         best = F.struct("path", "line", "ord", "def_id")
         self.rows = defs.select("path", "dir", best.alias("best"), F.explode(F.array_distinct(keys)).alias("key"), imported.alias("imported"))
-        self.all = materialise(self.rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("best").alias("best")), "index-all")
-        self.file = materialise(self.rows.groupBy("key", "path").agg(F.count(F.lit(1)).alias("n_file"), F.min("best").alias("best_file")), "index-file")
-        self.dir = materialise(self.rows.groupBy("key", "dir").agg(F.count(F.lit(1)).alias("n_dir"), F.min("best").alias("best_dir")), "index-dir")
+        number = lambda n, of, *by: materialise(self.rows.groupBy("key", *by).agg(F.count(F.lit(1)).alias(n), F.min("best").alias(of)), f"index-{of}")
+        self.all, self.file, self.dir = together(lambda: number("n", "best"), lambda: number("n_file", "best_file", "path"), lambda: number("n_dir", "best_dir", "dir"))
 
     def answer(self, requests: DataFrame, imports: DataFrame) -> DataFrame:
         """path, ord, level, step, best, guess from requests (path, ord, level, step, how, key, total):
@@ -151,10 +150,13 @@ class Resolver:
 
     def scopes(self, rel: DataFrame) -> None:
         """What calls in Rust and Go resolve by."""
-        self.index = Index(self.defs)
         last = F.max(F.struct("ord", "segs")).alias("m")
-        self.imports = materialise(rel.where("rel = 'import'").groupBy("path", "lang", "name").agg(last).select("path", "lang", F.col("name").alias("local"), F.col("m.segs").alias("route")), "imports")
-        self.globs = materialise(rel.where("rel = 'glob'").select("path", "lang", F.col("segs").alias("route")).distinct(), "globs")
+        imports = rel.where("rel = 'import'").groupBy("path", "lang", "name").agg(last).select("path", "lang", F.col("name").alias("local"), F.col("m.segs").alias("route"))
+        globs = rel.where("rel = 'glob'").select("path", "lang", F.col("segs").alias("route")).distinct()
+        made = {"go": lambda: materialise(dispatch_go(self.defs), "dispatch-go"), "rust": lambda: materialise(dispatch_rust(self.defs, rel.where("rel = 'impl'")), "dispatch-rust")}
+        langs = sorted(self.languages)
+        self.index, self.imports, self.globs, *targets = together(lambda: Index(self.defs), lambda: materialise(imports, "imports"), lambda: materialise(globs, "globs"), *(made[x] for x in langs))
+        self.targets = dict(zip(langs, targets, strict=True))
         go, q, m = F.col("lang") == "go", _key("Q", F.concat_ws("::", "route")), _key("M", F.concat_ws("::", "route"))
         g = F.when(F.size("route") > 0, _key("G", F.element_at("route", -1)))
         ikeys = self.imports.select("path", F.explode(F.when(go, F.array(g)).otherwise(F.array(q, m))).alias("ikey"))
@@ -163,8 +165,6 @@ class Resolver:
         self.params = rel.where("rel = 'param'").groupBy("path", "fn_line", "var").agg(F.min(F.struct("ord", "type")).alias("p")).select("path", "fn_line", "var", F.col("p.type").alias("param_type"))
         self.bounds = rel.where("rel = 'bound'").select("path", "fn_line", F.col("var").alias("type_param"), F.struct("ord", F.col("type").alias("trait")).alias("bound"))
         self.fns = rel.where("rel = 'fn'").groupBy("path", F.col("line").alias("fn_line")).agg(F.max(F.struct("ord", "receiver", "via_trait")).alias("f")).select("path", "fn_line", F.col("f.receiver").alias("impl_type"), F.col("f.via_trait").alias("trait_name"))
-        made = {"go": lambda: dispatch_go(self.defs), "rust": lambda: dispatch_rust(self.defs, rel.where("rel = 'impl'"))}
-        self.targets = {lang: materialise(made[lang](), f"dispatch-{lang}") for lang in sorted(self.languages)}
 
     # ---- call sites
 
@@ -209,7 +209,7 @@ class Resolver:
         levels: list[DataFrame] = []
         items = sites.select("path", "lang", "ord", F.lit(0).alias("level"), "fn_line", "line", *CALLEE).distinct()
         for level in range(LEVELS):
-            if level and items.isEmpty():
+            if level and items.isEmpty():  # a look at the written items of the level above
                 break
             items, deeper = self.expand(items)
             levels.append(items)
