@@ -36,7 +36,11 @@ class Engine:
 
     @cached_property
     def files(self) -> DataFrame:
-        return self.given if self.written else materialise(self.given, "files")
+        if self.written:
+            return self.given
+        # parsing takes far longer than its input is large: dealt to all cores, however few bytes there are
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 3 * self.spark.sparkContext.defaultParallelism)
+        return materialise(self.given.repartition(tasks), "files")
 
     @cached_property
     def languages(self) -> tuple[str, ...]:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.operators.outline import basename
-from sylvan.operators.resolve import Resolver
+from sylvan.operators.resolve import Groups, Resolver, met, placed
 from sylvan.runtime import materialise
 
 DEPTH = 3
@@ -16,18 +16,23 @@ DEPTH = 3
 
 @dataclass
 class Graph:
-    """``defs``: the definitions; ``calls``: one row for each (caller, display, target)."""
+    """``defs``: the definitions; ``calls``: one row for each (caller, display, target), but those that go to
+    ``groups`` of targets."""
 
     defs: DataFrame
     calls: DataFrame
-
-    def named(self) -> DataFrame:
-        """Calls with both ends: definitions have path, line and name; targets outside have a display only."""
-        d = self.defs.select("def_id", "path", "line", "name")
-        src = d.toDF("caller", "src_path", "src_line", "src_name")
-        dst = d.toDF("target", "dst_path", "dst_line", "dst_name")
-        calls = self.calls.withColumnRenamed("path", "site_path")
-        return calls.join(src, "caller").join(dst, "target", "left")
+    groups: Groups | None = None
+
+    def named(self, **more: Column) -> DataFrame:
+        """Calls with both ends: definitions have path, line and name; targets outside have a display only.
+        ``more``: further columns of a target, of the table of definitions. Ends join before the pairs of a group are made."""
+        src = self.defs.select("def_id", "path", "line", "name").toDF("caller", "src_path", "src_line", "src_name")
+        dst = self.defs.select("def_id", "path", "line", "name", *more.values()).toDF("target", "dst_path", "dst_line", "dst_name", *more)
+        out = self.calls.withColumnRenamed("path", "site_path").join(src, "caller").join(dst, "target", "left")
+        if self.groups is None:
+            return out
+        sites = placed(self.groups.sites).withColumnRenamed("path", "site_path").join(src, "caller")
+        return out.unionByName(met(sites, self.groups.members.join(dst, "target"), self.groups.deal))
 
     def edges(self) -> DataFrame:
         """src_id, dst_id, src_label, dst_label, is_guess: ids are ``file:line`` by the file's base name,
@@ -88,8 +93,7 @@ class Graph:
 def build(rel: DataFrame) -> Graph:
     """The graph of a written table of relations."""
     resolver = Resolver(rel)
-    calls = materialise(resolver.calls(), "calls")
-    return Graph(resolver.defs, calls)
+    return Graph(resolver.defs, *resolver.calls())
 
 
 __all__ = ["Graph", "build"]

@@ -12,15 +12,19 @@ Receivers' types come from the last binding of a variable at or before the call
 join), which may ask about another call: up to ``LEVELS`` nested lookups are expanded, and
 answered from the innermost out.
 
-Calls through an interface or trait go to all types that implement it.
+Calls through an interface or trait go to all types that implement it. These targets are a *group*, and
+a site keeps the group's key: what is written grows with the sites and with the members, and the pairs
+of both (:func:`met`) are made where a result asks for them, in a stage that writes no shuffle after it.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sylvan.operators.outline import definitions, folder
 from sylvan.runtime import discard, materialise, together
@@ -29,6 +33,8 @@ LEVELS = 5
 SEP = "\x01"
 ITEM = ("path", "ord", "level")
 CALLEE = ("ckind", "name", "segs", "rkind", "recv")
+#: Sites, and members, of a group that meet in one key; pairs of a task.
+BLOCK, PAIRS = 2048, 1 << 23
 
 
 def _key(kind: str, *parts) -> Column:
@@ -72,9 +78,10 @@ class Index:
         number = lambda n, of, *by: materialise(self.rows.groupBy("key", *by).agg(F.count(F.lit(1)).alias(n), F.min("best").alias(of)), f"index-{of}")
         self.all, self.file, self.dir = together(lambda: number("n", "best"), lambda: number("n_file", "best_file", "path"), lambda: number("n_dir", "best_dir", "dir"))
 
-    def answer(self, requests: DataFrame, imports: DataFrame) -> DataFrame:
+    def answer(self, requests: DataFrame, imports: DataFrame | None) -> DataFrame:
         """path, ord, level, step, best, guess from requests (path, ord, level, step, how, key, total):
-        how: file, dir, any; total: the key whose number tells a guess. ``imports``: (path, ikey)."""
+        how: file, dir, any; total: the key whose number tells a guess. ``imports``: (path, ikey);
+        None: no file has any."""
         r = requests.withColumn("dir", folder(F.col("path")))
         r = r.join(self.all, "key").join(self.all.select(F.col("key").alias("total"), F.col("n").alias("n_total")), "total")
         r = r.join(self.file, ["key", "path"], "left").join(self.dir, ["key", "dir"], "left")
@@ -83,12 +90,7 @@ class Index:
         near = F.when((F.col("how") == "dir") | (F.col("best_file").isNull()), F.struct(F.lit(1).alias("loc"), F.col("best_dir").alias("best"))).otherwise(F.struct(F.lit(0).alias("loc"), F.col("best_file").alias("best")))
         r = r.select(*ITEM, "step", "key", number.alias("number"), F.col("best").alias("any"), F.when(near["best"].isNotNull(), near).alias("near"))
         r = materialise(r, "requests")
-        # only where several are far off do imports matter
-        far = r.where("number > 1 and near is null")
-        wanted = far.select("key").distinct()
-        under = self.rows.join(wanted, "key", "left_semi").select("key", "best", F.explode("imported").alias("ikey")).groupBy("key", "ikey").agg(F.min("best").alias("best"))
-        met = far.select("path", "key").distinct().join(imports, "path").join(under, ["key", "ikey"]).groupBy("path", "key").agg(F.min("best").alias("imported"))
-        r = r.join(met, ["path", "key"], "left")
+        r = r.withColumn("imported", F.lit(None).cast(r.schema["any"].dataType)) if imports is None else self.under_imports(r, imports)
         chosen = F.when((F.col("number") > 1) & F.col("near").isNotNull(), F.col("near"))
         chosen = F.coalesce(chosen, F.when((F.col("number") > 1) & F.col("imported").isNotNull(), F.struct(F.lit(2).alias("loc"), F.col("imported").alias("best"))), F.struct(F.lit(3).alias("loc"), F.col("any").alias("best")))
         one = r.withColumn("chosen", F.when(F.col("number") == 1, F.struct(F.coalesce(F.col("near.loc"), F.when(F.col("imported").isNotNull(), 2), F.lit(3)).alias("loc"), F.coalesce("near.best", "any").alias("best"))).otherwise(chosen))
@@ -96,6 +98,15 @@ class Index:
         out = one.groupBy(*ITEM, "step").agg(F.min("chosen").alias("c"), F.max("number").alias("most"), F.min("any").alias("a"), F.max("any").alias("b"))
         return out.select(*ITEM, "step", F.col("c.best").alias("best"), ((F.col("most") > 1) | (F.col("a") != F.col("b"))).alias("guess"))
 
+    def under_imports(self, r: DataFrame, imports: DataFrame) -> DataFrame:
+        """With the best definition of a key under an import of the file."""
+        # only where several are far off do imports matter
+        far = r.where("number > 1 and near is null")
+        wanted = far.select("key").distinct()
+        under = self.rows.join(wanted, "key", "left_semi").select("key", "best", F.explode("imported").alias("ikey")).groupBy("key", "ikey").agg(F.min("best").alias("best"))
+        met = far.select("path", "key").distinct().join(imports, "path").join(under, ["key", "ikey"]).groupBy("path", "key").agg(F.min("best").alias("imported"))
+        return r.join(met, ["path", "key"], "left")
+
 
 def dispatch_go(defs: DataFrame) -> DataFrame:
     """owner, name, best, guess: methods that a call of an interface's method goes to. A type implements
@@ -138,6 +149,38 @@ def _or_signature(targets: DataFrame, defs: DataFrame, implemented: DataFrame |
     return known.unionByName(lone.select("owner", "name", F.col("f.best").alias("best"), F.lit(False).alias("guess")))
 
 
+@dataclass
+class Groups:
+    """Calls that go to all members of a group. ``sites``: caller, display, first, grp, the targets that an earlier site
+    of the same caller and display has (``but``) and the groups (``earlier``); ``members``: grp, target, and
+    the groups that have it, too, where sites need that (``also``); ``deal``: tasks that the pairs are dealt to."""
+
+    sites: DataFrame
+    members: DataFrame
+    deal: int
+
+
+def placed(calls: DataFrame) -> DataFrame:
+    """``first`` as columns."""
+    more = ("line", "path", "ord")
+    return calls.select(*[c for c in calls.columns if c != "first"], *[F.col("first")[c].alias(c) for c in more], F.col("first.guess").alias("is_guess"))
+
+
+def met(sites: DataFrame, members: DataFrame, deal: int) -> DataFrame:
+    """The pairs of sites and members of a group, but those of which an earlier site has the target. Both come in blocks,
+    so that a group is many keys."""
+    block = lambda by, n: F.pmod(F.xxhash64(*by), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    keys = ["grp", "s_block", "m_block"]
+    left = sites.withColumn("s_block", block(("caller", "display"), "s_blocks")).withColumn("m_block", every("m_blocks"))
+    here = F.filter("but", lambda t: block((t,), "m_blocks") == F.col("m_block"))  # most blocks have none of them
+    left = left.withColumn("but", F.when(F.size(here) > 0, here)).drop("s_blocks", "m_blocks")
+    right = members.withColumn("m_block", block(("target",), "m_blocks")).withColumn("s_block", every("s_blocks")).drop("s_blocks", "m_blocks")
+    out = left.repartition(deal, *keys).join(right.repartition(deal, *keys), keys)
+    out = out.where(F.col("but").isNull() | ~F.array_contains("but", F.col("target")))
+    return out.where(F.col("earlier").isNull() | F.col("also").isNull() | ~F.arrays_overlap("earlier", "also")).drop(*keys, "but", "earlier", "also")
+
+
 class Resolver:
     """Calls of a whole table of relations."""
 
@@ -156,11 +199,16 @@ class Resolver:
         made = {"go": lambda: materialise(dispatch_go(self.defs), "dispatch-go"), "rust": lambda: materialise(dispatch_rust(self.defs, rel.where("rel = 'impl'")), "dispatch-rust")}
         langs = sorted(self.languages)
         self.index, self.imports, self.globs, *targets = together(lambda: Index(self.defs), lambda: materialise(imports, "imports"), lambda: materialise(globs, "globs"), *(made[x] for x in langs))
-        self.targets = dict(zip(langs, targets, strict=True))
+        # owners of both languages may share a name
+        members = reduce(DataFrame.unionByName, [t.select(F.lit(x).alias("lang"), _key(x, "owner", "name").alias("grp"), "owner", "name", "best", "guess") for x, t in zip(langs, targets, strict=True)])
+        number = members.groupBy("grp", "lang", "owner", "name").agg(F.count(F.lit(1)).alias("n"), F.min("best").alias("best"), F.max("guess").alias("guess"))
+        self.members = members.select("grp", F.col("best.def_id").alias("target"))
+        self.groups = materialise(number, "groups")
         go, q, m = F.col("lang") == "go", _key("Q", F.concat_ws("::", "route")), _key("M", F.concat_ws("::", "route"))
         g = F.when(F.size("route") > 0, _key("G", F.element_at("route", -1)))
         ikeys = self.imports.select("path", F.explode(F.when(go, F.array(g)).otherwise(F.array(q, m))).alias("ikey"))
         self.ikeys = materialise(ikeys.union(self.globs.select("path", F.when(go, g).otherwise(m))).where("ikey is not null").distinct(), "import-keys")
+        self.ikeys = None if self.ikeys.isEmpty() else self.ikeys
         self.bindings = rel.where("rel = 'binding'").select("path", "fn_line", F.col("line").alias("b_line"), "var", F.struct("ord", "bkind", "type", *CALLEE).alias("b"))
         self.params = rel.where("rel = 'param'").groupBy("path", "fn_line", "var").agg(F.min(F.struct("ord", "type")).alias("p")).select("path", "fn_line", "var", F.col("p.type").alias("param_type"))
         self.bounds = rel.where("rel = 'bound'").select("path", "fn_line", F.col("var").alias("type_param"), F.struct("ord", F.col("type").alias("trait")).alias("bound"))
@@ -189,23 +237,51 @@ class Resolver:
         deeper = items.where(asks).select("path", "lang", "ord", (F.col("level") + 1).alias("level"), "fn_line", "line", *[F.col(f"b.{c}").alias(c) for c in CALLEE])
         return items, deeper
 
-    def calls(self) -> DataFrame:
-        """caller, display, line, target (null: outside), is_guess, path, ord, pos of every resolved site;
-        of equal (caller, display, target) the first site."""
+    def calls(self) -> tuple[DataFrame, Groups | None]:
+        """caller, display, line, target (null: outside), is_guess, path, ord of every resolved site, and the calls
+        that go to groups; of equal (caller, display, target) the first site."""
         sites = materialise(self.sites(), "sites")
         # other languages: a name that one definition in the whole project has
         best = F.struct("path", "line", "ord", "def_id")
         lone = self.defs.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("best")).where("n = 1")
-        hits = sites.where("ckind = 'name'").select("path", "ord", "name").distinct().join(lone, "name").select("path", "ord", "best", F.lit(False).alias("guess"))
+        none = F.lit(None).cast("string").alias("grp")
+        hits = sites.where("ckind = 'name'").select("path", "ord", "name").distinct().join(lone, "name").select("path", "ord", "best", F.lit(False).alias("guess"), none)
         if self.languages:
-            hits = hits.unionByName(self.cascade(sites.where("ckind <> 'name'")).select("path", "ord", "best", "guess"))
+            hits = hits.unionByName(self.cascade(sites.where("ckind <> 'name'")).select("path", "ord", "best", "guess", "grp"))
         found = sites.join(hits, ["path", "ord"], "left")
-        rows = found.select("caller", F.col("name").alias("display"), F.col("best.def_id").alias("target"), F.struct("path", "ord", "line", F.coalesce("guess", F.lit(False)).alias("guess")).alias("first"))
-        rows = rows.groupBy("caller", "display", "target").agg(F.min("first").alias("first"))
-        return rows.select("caller", "display", F.col("first.line").alias("line"), "target", F.col("first.guess").alias("is_guess"), F.col("first.path").alias("path"), F.col("first.ord").alias("ord"))
+        target = F.when(F.col("grp").isNull(), F.col("best.def_id")).alias("target")
+        rows = found.select("caller", F.col("name").alias("display"), target, "grp", F.struct("path", "ord", "line", F.coalesce("guess", F.lit(False)).alias("guess")).alias("first"))
+        rows = materialise(rows.groupBy("caller", "display", "target", "grp").agg(F.min("first").alias("first")), "found")
+        direct, groups = rows.where("grp is null").drop("grp"), None
+        if self.languages:
+            direct, groups = self.grouped(direct, rows.where("grp is not null").drop("target"))
+        return materialise(placed(direct), "calls"), groups
+
+    def grouped(self, direct: DataFrame, via: DataFrame) -> tuple[DataFrame, Groups | None]:
+        """The calls of one target, and those of groups, so that of equal (caller, display, target) the first is left."""
+        number = self.groups.select("grp", "n").join(via.groupBy("grp").agg(F.count(F.lit(1)).alias("sites")), "grp")
+        blocks = materialise(number.select("grp", "n", "sites", F.ceil(F.col("n") / BLOCK).alias("m_blocks"), F.ceil(F.col("sites") / BLOCK).alias("s_blocks")), "blocks")
+        pairs = blocks.agg(F.sum(F.col("n").cast("double") * F.col("sites"))).first()[0]
+        if pairs is None:  # no call goes to a group
+            return direct, None
+        sizes = blocks.select("grp", "m_blocks", "s_blocks")
+        members = materialise(self.members.join(sizes, "grp"), "members")
+        # a target that is called by itself, too
+        both = direct.withColumnRenamed("first", "d_first").join(via, ["caller", "display"]).join(members.select("grp", "target"), ["grp", "target"])
+        both = materialise(both.select("caller", "display", "target", "grp", (F.col("first") < F.col("d_first")).alias("later")), "both")
+        direct = direct.join(both.where("later").select("caller", "display", "target").distinct(), ["caller", "display", "target"], "left_anti")
+        but = both.where("not later").groupBy("caller", "display", "grp").agg(F.collect_set("target").alias("but"))
+        # groups of one caller and display may share members
+        before = F.collect_list("grp").over(Window.partitionBy("caller", "display").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+        sites = via.withColumn("earlier", before).withColumn("earlier", F.when(F.size("earlier") > 0, F.col("earlier")))
+        sites = materialise(sites.join(but, ["caller", "display", "grp"], "left").join(sizes, "grp"), "group-sites")
+        shared = sites.where("earlier is not null").select("grp", F.explode("earlier").alias("other")).distinct()
+        mine = members.select("grp", "target")
+        also = shared.join(mine, "grp").join(mine.withColumnRenamed("grp", "other"), ["other", "target"]).groupBy("grp", "target").agg(F.collect_set("other").alias("also"))
+        return direct, Groups(sites, materialise(members.join(also, ["grp", "target"], "left"), "group-members"), min(max(int(pairs / PAIRS), 1), 10_000))
 
     def cascade(self, sites: DataFrame) -> DataFrame:
-        """path, ord, level, step, best, guess of call sites in Rust and Go."""
+        """path, ord, level, step, best, guess, grp of call sites in Rust and Go."""
         levels: list[DataFrame] = []
         items = sites.select("path", "lang", "ord", F.lit(0).alias("level"), "fn_line", "line", *CALLEE).distinct()
         for level in range(LEVELS):
@@ -224,7 +300,8 @@ class Resolver:
     # ---- one level
 
     def resolve(self, items: DataFrame, below: DataFrame | None) -> DataFrame:
-        """path, ord, level, step, best, guess: the targets of each item that has any."""
+        """path, ord, level, step, best, guess, grp: the targets of each item that has any; a group is one row with the
+        best of its members."""
         if below is not None:
             first = below.groupBy("path", "ord", (F.col("level") - 1).alias("level")).agg(F.min(F.struct("best", "guess")).alias("h"))
             returns = self.defs.select("def_id", F.col("ret").alias("ret"))
@@ -246,10 +323,10 @@ class Resolver:
         asked = self.requests(items)
         answers = self.index.answer(asked, self.ikeys)
         inner = items.where("ckind = 'bare' and inner is not null").select(*ITEM, F.lit(0).alias("step"), F.col("inner").alias("best"), F.col("inner_guess").alias("guess"))
-        sent = [self.dispatched(items.where(F.col("lang") == lang), targets) for lang, targets in self.targets.items()]
-        every = materialise(reduce(DataFrame.unionByName, [answers, inner, *sent]), "answers")
+        alone = answers.unionByName(inner).withColumn("grp", F.lit(None).cast("string"))
+        every = materialise(alone.unionByName(self.dispatched(items)), "answers")
         least = every.groupBy(*ITEM).agg(F.min("step").alias("least"))
-        return every.join(least, list(ITEM)).where("step = least").select(*ITEM, "step", "best", "guess").distinct()
+        return every.join(least, list(ITEM)).where("step = least").select(*ITEM, "step", "best", "guess", "grp").distinct()
 
     def asked_types(self, items: DataFrame) -> DataFrame:
         """path, ord, level, name, step, type: types whose methods an item asks for, a step each."""
@@ -261,11 +338,11 @@ class Resolver:
         generic = generic.select(items["path"], *ITEM[1:], "name", "lang", (F.col("bound.ord") * 4 + 20).alias("step"), F.col("bound.trait").alias("type"))
         return reduce(DataFrame.unionByName, [typed, expression, generic])
 
-    def dispatched(self, items: DataFrame, targets: DataFrame) -> DataFrame:
+    def dispatched(self, items: DataFrame) -> DataFrame:
         t = self.asked_types(items)
         # methods come before interfaces in Go, traits before methods in Rust
         step = F.col("step") + F.when(F.col("lang") == "go", 2).otherwise(0)
-        return t.withColumnRenamed("type", "owner").join(targets, ["owner", "name"]).select(*ITEM, step.cast("int").alias("step"), "best", "guess")
+        return t.withColumnRenamed("type", "owner").join(self.groups, ["lang", "owner", "name"]).select(*ITEM, step.cast("int").alias("step"), "best", "guess", F.when(F.col("n") > 1, F.col("grp")).alias("grp"))
 
     def requests(self, items: DataFrame) -> DataFrame:
         go, rust, name = F.col("lang") == "go", F.col("lang") == "rust", F.col("name")

@@ -244,9 +244,12 @@ select 'UseSup' || cast(u.k as varchar) as src_name, callee, dst, is_guess from
 def edges_go_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls through an interface, by a constructor's result, and of a method that a type lacks: callee and the
     number of the supplier whose method it is."""
-    named = over(corpora.go_dispatch, spark, sf_dir).graph
-    d = named.defs.select(F.col("def_id").alias("target"), F.nullif(F.regexp_extract(F.concat_ws("/", "qualified"), r"Sup(\d+)", 1), F.lit("")).cast("long").alias("dst"))
-    return named.named().join(d, "target", "left").select("src_name", F.col("display").alias("callee"), "dst", "is_guess")
+    return _dispatched(over(corpora.go_dispatch, spark, sf_dir))
+
+
+def _dispatched(engine: Engine) -> DataFrame:
+    named = engine.graph.named(dst=F.nullif(F.regexp_extract(F.concat_ws("/", "qualified"), r"Sup(\d+)", 1), F.lit("")).cast("long"))
+    return named.select("src_name", F.col("display").alias("callee"), "dst", "is_guess")
 
 
 register("edges_rust_paths", """
