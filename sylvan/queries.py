@@ -275,9 +275,7 @@ union all select 'run', 'stop', null, false from s where not stops
 def edges_rust_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls through a trait, a bound, a constructor's result and self: callee and the number of the supplier whose
     method it is (null: the trait's default)."""
-    graph = over(corpora.rust_traits, spark, sf_dir).graph
-    d = graph.defs.select(F.col("def_id").alias("target"), F.nullif(F.regexp_extract(F.concat_ws("/", "qualified"), r"Sup(\d+)", 1), F.lit("")).cast("long").alias("dst"))
-    return graph.named().join(d, "target", "left").select("src_name", F.col("display").alias("callee"), "dst", "is_guess")
+    return _dispatched(over(corpora.rust_traits, spark, sf_dir))
 
 
 _CHAIN = """
