@@ -211,13 +211,19 @@ def nodes(files: DataFrame) -> DataFrame:
 
         def each() -> Iterator[tuple]:
             for path, lang, source, root in _parsed(batches):
+                invalid = "�" in source
                 for r in rows(root, source):
-                    start, end, text = r[7], r[8], r[11]
-                    stop = source.find("\n", start, end)
-                    first = source[start : end if stop < 0 else stop].removesuffix("\r")
-                    if "�" in first or text is not None and "�" in text:
-                        first = text = INVALID
-                    yield (path, lang, *r[:11], text, first if len(first) <= LONG_LINE else None)
+                    text = r[11]
+                    if text is not None and r[9] == r[10]:  # within a line
+                        first = text.removesuffix("\r")
+                    else:
+                        start, end = r[7], r[8]
+                        stop = source.find("\n", start, end)
+                        first = source[start : end if stop < 0 else stop].removesuffix("\r")
+                    if invalid and ("�" in first or text is not None and "�" in text):
+                        yield (path, lang, *r[:11], INVALID, INVALID)
+                    else:
+                        yield (path, lang, *r, first if len(first) <= LONG_LINE else None)
 
         yield from _batched(each(), _arrow(NODES))
 
